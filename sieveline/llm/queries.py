@@ -4,8 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import table
-from . import topn
+from . import mixing, prose, spans, topn
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies of documents and texts of chunks as records; the owner of a chunk is its document."""
+    docs, chunks = table(spark, folder, "enterprise_documents"), table(spark, folder, "chunks")
+    owner = F.coalesce(F.expr("substring_index(chunk_id, '-C', size(split(chunk_id, '-C')) - 1)"), F.lit(""))
+    return docs.select(F.lit("document").alias("record_type"), F.col("document_id").alias("id"), F.col("document_id").alias("owner"), F.col("body").alias("text")).unionByName(
+        chunks.select(F.lit("chunk").alias("record_type"), F.col("chunk_id").alias("id"), owner.alias("owner"), "text")
+    )
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_pairs(spans.find_shared(_records(spark, folder), 200))
+
+
+def p1_shared_chars(spark: SparkSession, folder: str) -> DataFrame:
+    records = _records(spark, folder)
+    return spans.shared_amounts(records, spans.find_shared(records, 200))
+
+
+def p1_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_stretches(spans.find_shared(_records(spark, folder), 200)).drop("version").distinct()
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,4 +42,29 @@ def p2_top3(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n(runs, ["run_id", "query_id"], "chunk_id", "score", "rank", 3, keep=("method",))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top3)}
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), mixing.clean_source("source").alias("source"), mixing.token_count("text").alias("n_tokens"))
+    return mixing.mix(docs, table(spark, folder, "mix_targets"))
+
+
+def p7_mix_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+def p7_mix_records(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def _prose(spark: SparkSession, folder: str) -> DataFrame:
+    return prose.judged(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _prose(spark, folder).where("text_kind <> 'prose'").select("doc_id", "text_kind").distinct()
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return _prose(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}
