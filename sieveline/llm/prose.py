@@ -18,11 +18,11 @@ _VERB_END = re.compile(r"(?:다|까|요)[.?!]?(?=\s|$)")
 _LEADER = re.compile(r"\.{4,}\s*\d*\s*$")
 #: Marks of text decoded with a wrong character set.
 _BROKEN = re.compile("[�ÂÃ¤§]|â€")
-_NOISE = re.compile(r"[^\w\s.,;:!?'\"()\-/%#&€$+*=|<>@§°·–—„“”«»’…]|[|~^`\\]")
+_NOISE = re.compile(r"[^\w\s.,;:!?'\"()\[\]\-/%#&€$+*=|<>@§°·•–—„“”«»’…]|[~^`\\]")
 
 STATS = (
     "n_chars long, n_words long, mean_word_length double, symbol_ratio double, alpha_word_ratio double, n_lines long, end_punct_ratio double, "
-    "bullet_ratio double, ellipsis_ratio double, common_ratio double, repeat_ratio double, sentence_share double, list_share double, table_share double, junk_share double"
+    "bullet_ratio double, ellipsis_ratio double, common_ratio double, repeat_ratio double, sentence_share double, list_share double, table_share double, junk_share double, entry_ratio double"
 )
 
 
@@ -39,8 +39,9 @@ def _damage(line: str) -> float:
     return (3 * len(_BROKEN.findall(line)) + 2 * len(_NOISE.findall(line))) / n
 
 
-def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str]) -> tuple[float, float, float, float, float]:
-    """Shares of the characters in sentences, list entries, table rows and junk, and of repeated lines or words."""
+def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str]) -> tuple[float, ...]:
+    """Shares of the characters in sentences, list entries, table rows and junk, the share of lines that are entries or
+    rows, and the share of repeated units."""
     sizes = [len(x.strip()) for x in lines]
     total = sum(sizes) or 1
     kinds = []
@@ -64,17 +65,20 @@ def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str
     before = ""
     for x, w, c in zip(lines, words, cells):
         n = len(x.strip())
-        bullet = bool(_BULLET.match(x))
-        if _damage(x) > 0.12:
+        bullet = _BULLET.match(x)
+        if bullet:  # 'a)' is a label, no word
+            x = x[bullet.end() :]
+            w = _WORD.findall(x.lower())
+        if c[0] and same[c] >= 3 and same[c] >= 0.3 * len(lines) and n < 400 and not bullet and not _is_sentence(x, w, common):
+            kind = "table"
+        elif _damage(x) > 0.12:
             kind = "junk"
         elif _is_sentence(x, w, common):
             kind = "sentence"
-        elif c[0] and same[c] >= 3 and same[c] >= 0.3 * len(lines) and n < 400 and not bullet:
-            kind = "table"
         elif not bullet and before == "sentence" and len(w) < 4 and len(lines) < 400 and n < 60 and x.rstrip().endswith(_END):
             kind = "sentence"  # the end of a wrapped sentence
-        elif n > 200 or w and max(map(len, w)) > 45:
-            kind = "junk"
+        elif n > 200 or not w or max(map(len, x.split())) >= 40:
+            kind = "junk"  # no line of a list: endless, without a word, or one unbroken string
         else:
             kind = "list"
         kinds.append(kind)
@@ -89,11 +93,10 @@ def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str
     if len(units) >= 6:
         often = Counter(units)
         repeated = max(repeated, sum(len(u) * n for u, n in often.items() if n > 3) / (sum(map(len, units)) or 1))
-    if len(flat) >= 30:
-        triples = Counter(zip(flat, flat[1:], flat[2:]))
-        if len(triples) < 0.12 * len(flat) or len(set(flat)) <= max(20, 0.03 * len(flat)) and len(set(flat)) < 0.2 * len(flat):
+    if len(flat) >= 30 and (different := len(set(flat))) < 0.3 * len(flat):
+        if different <= max(20, 0.03 * len(flat)) and different < 0.2 * len(flat) or len(set(zip(flat, flat[1:], flat[2:]))) < 0.12 * len(flat):
             repeated = 1.0
-    return share["sentence"] / total, share["list"] / total, share["table"] / total, share["junk"] / total, repeated
+    return share["sentence"] / total, share["list"] / total, share["table"] / total, share["junk"] / total, (kinds.count("list") + kinds.count("table")) / (len(kinds) or 1), repeated
 
 
 def text_statistics(text: str, common: set[str]) -> tuple:
@@ -107,10 +110,11 @@ def text_statistics(text: str, common: set[str]) -> tuple:
     alpha = sum(not w.isdigit() for ws in words for w in ws)
     n = len(lines) or 1
     stripped = [x.rstrip() for x in lines]
+    shares = _shares(text, lines, words, common)
     return (
         len(text), n_words, letters / n_words if n_words else 0.0, (solid - letters) / solid, alpha / n_words if n_words else 0.0, len(lines),
         sum(x.endswith(_END) for x in stripped) / n, sum(bool(_BULLET.match(x)) for x in lines) / n, sum(x.endswith(("...", "…")) or bool(_LEADER.search(x)) for x in stripped) / n,
-        frequent / n_words if n_words else 0.0, *(_shares(text, lines, words, common)[i] for i in (4, 0, 1, 2, 3)),
+        frequent / n_words if n_words else 0.0, *(shares[-1:] + shares[:-1]),
     )
 
 
@@ -154,13 +158,14 @@ def failed_rules() -> Column:
     return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda r: r.isNotNull())
 
 
-def text_kind(sentence: float = 0.5, repeated: float = 0.6) -> Column:
-    """'junk' if one fragment makes up most of the text; 'prose' if half or more of the characters are sentences; else the
-    largest of 'junk', 'table' and 'list'."""
+def text_kind(sentence: float = 0.5, clear: float = 0.65, entries: float = 0.75, repeated: float = 0.6) -> Column:
+    """'junk' if one fragment makes up most of the text; 'prose' if half or more of the characters are sentences (up to
+    `clear`, only if less than `entries` of the lines are list entries or table rows); else the largest of 'junk',
+    'table' and 'list'."""
     largest = F.greatest("junk_share", "table_share", "list_share")
     return (
         F.when(F.col("repeat_ratio") >= repeated, "junk")
-        .when(F.col("sentence_share") >= sentence, "prose")
+        .when((F.col("sentence_share") >= clear) | ((F.col("sentence_share") >= sentence) & (F.col("entry_ratio") < entries)), "prose")
         .when(F.col("junk_share") == largest, "junk")
         .when(F.col("table_share") == largest, "table")
         .otherwise("list")
