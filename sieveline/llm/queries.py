@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import mixing, prose, spans, topn
+from . import leakage, mixing, prose, spans, topn
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,6 +42,19 @@ def p2_top3(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n(runs, ["run_id", "query_id"], "chunk_id", "score", "rank", 3, keep=("method",))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return p6_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("leaked_windows").alias("most_windows"))
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), mixing.clean_source("source").alias("source"), mixing.token_count("text").alias("n_tokens"))
     return mixing.mix(docs, table(spark, folder, "mix_targets"))
@@ -67,4 +80,4 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _prose(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}
