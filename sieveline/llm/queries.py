@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leakage, mixing, prose, spans, topn
+from . import leakage, mixing, prose, spans, splitting, topn
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,6 +42,18 @@ def p2_top3(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n(runs, ["run_id", "query_id"], "chunk_id", "score", "rank", 3, keep=("method",))
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split(table(spark, folder, "enterprise_documents"), table(spark, folder, "chunking_config"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.cut_kinds(_pieces(spark, folder))
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_leaks(spark, folder).select("doc_id", "item_id")
 
@@ -80,4 +92,4 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _prose(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p3_found, p3_pieces, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}

@@ -12,6 +12,10 @@ WITH r AS (
 """
 
 SQL = {
+    "p3_found": r"""
+SELECT DISTINCT config_id, document_id,
+  CASE WHEN list_max(list_transform(regexp_split_to_array(body, '\s+'), lambda w: length(w))) // 4 > max_tokens THEN 'forced' ELSE 'boundary' END AS cut_kind
+FROM enterprise_documents, chunking_config WHERE length(body) // 4 > max_tokens""",
     "p2_found": _P2 + "SELECT run_id, query_id, chunk_id FROM placed WHERE position <= 3",
     "p2_top3": _P2 + "SELECT run_id, query_id, chunk_id, score, rank, method, CAST(position AS INTEGER) AS position FROM placed WHERE position <= 3",
 }
