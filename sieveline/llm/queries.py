@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leakage, mixing, prose, spans, splitting, topn
+from . import leakage, mixing, pairs, prose, spans, splitting, topn
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +54,25 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "queries").where("query_id IS NOT NULL").groupBy("query_id").agg(F.min(F.struct(F.col("query_text").alias("prompt"), "lang")).alias("q"))
+    given = table(spark, folder, "pilot_decisions").select(F.col("decision_id").alias("id"), "query_id", F.col("raw_response").alias("response"))
+    # A null key of its own for each row, so that these rows don't meet in one task.
+    given = given.withColumn("query_id", F.coalesce("query_id", F.concat(F.lit("none:"), F.col("id").cast("string"))))
+    return given.join(asked, "query_id", "left").select("id", "q.prompt", "response", "q.lang")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(_pairs(spark, folder), table(spark, folder, "common_words")).withColumnRenamed("id", "decision_id")
+
+
+def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the recorded flags show the defects."""
+    flags = table(spark, folder, "pilot_decisions").groupBy("decision_id").agg(F.min("parse_success").alias("parse_success"), F.max("fallback_used").alias("fallback_used"))
+    found = flags.join(p5_found(spark, folder), "decision_id", "left")
+    return found.groupBy(F.coalesce("defect", F.lit("none")).alias("defect"), "parse_success", "fallback_used").agg(F.count("*").alias("n_decisions"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_leaks(spark, folder).select("doc_id", "item_id")
 
@@ -92,4 +111,4 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _prose(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p3_found, p3_pieces, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p3_found, p3_pieces, p5_found, p5_flags, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}
