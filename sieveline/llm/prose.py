@@ -27,12 +27,18 @@ STATS = (
 
 
 def _is_sentence(line: str, words: list[str], common: set[str]) -> bool:
-    if len(words) < 4:
+    if len(words) < 4 or _symbols(line) > 0.25:
         return False
     share = sum(w in common for w in words) / len(words)
     return share >= 0.15 or (share > 0 or len(words) >= 5) and bool(_VERB_END.search(line))
 
 
+def _symbols(line: str) -> float:
+    """Share of the characters, without blanks and dots, that are neither letters nor digits."""
+    solid = line.replace(" ", "").replace("\t", "").replace(".", "")
+    return 1 - sum(map(len, _WORD.findall(solid))) / len(solid) if solid else 0.0
+
+
 def _damage(line: str) -> float:
     """Share of the characters that no language puts there: wrong decoding, stray symbols, digits inside of words."""
     n = len(line.replace(" ", "")) or 1
@@ -71,7 +77,7 @@ def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str
             w = _WORD.findall(x.lower())
         if c[0] and same[c] >= 3 and same[c] >= 0.3 * len(lines) and n < 400 and not bullet and not _is_sentence(x, w, common):
             kind = "table"
-        elif _damage(x) > 0.12:
+        elif _damage(x) > 0.12 or _symbols(x) > 0.4:
             kind = "junk"
         elif _is_sentence(x, w, common):
             kind = "sentence"
