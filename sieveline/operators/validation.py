@@ -20,15 +20,21 @@ def by_type(values: dict[str, object], default: object, c: str = "reasoning_type
     return F.lit(default) if out is None else out.otherwise(default)
 
 
+def _four(x: Column) -> Column:
+    """x to 4 decimals, half up, by plain arithmetic that every engine does alike."""
+    return F.floor(x * 10_000 + 0.5) / 10_000
+
+
 def relevance(lists: DataFrame) -> DataFrame:
     """lists (method, query_id, chunk_id, score, rank) with rank_proxy, lexical (score over the largest of the query's list),
     dense (score cut to 0..1) and adaptive (lexical for bm25, dense for dense, the mean of both otherwise), 4 decimals."""
     w = W.partitionBy("method", "query_id")
     top = F.max("score").over(w)
-    lexical = F.when(top < 1e-9, 0.0).otherwise(F.round(F.greatest(F.col("score"), F.lit(0.0)) / top, 4))
-    dense = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))), 4)
+    lexical = F.when(top < 1e-9, 0.0).otherwise(_four(F.greatest(F.col("score"), F.lit(0.0)) / top))
+    dense = _four(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
     rows = lists.withColumn("rank_proxy", F.round(F.greatest(F.lit(0.0), 1.0 - (F.col("rank") - 1) * 0.1), 4)).withColumn("lexical", lexical).withColumn("dense", dense)
-    adaptive = F.when(F.col("method") == "dense", F.col("dense")).when(F.col("method") == "bm25", F.col("lexical")).otherwise(F.round((F.col("lexical") + F.col("dense")) / 2, 4))
+    mean = F.floor((F.round(F.col("lexical") * 10_000) + F.round(F.col("dense") * 10_000)) / 2 + 0.5) / 10_000
+    adaptive = F.when(F.col("method") == "dense", F.col("dense")).when(F.col("method") == "bm25", F.col("lexical")).otherwise(mean)
     return rows.withColumn("adaptive", adaptive)
 
 
