@@ -11,7 +11,31 @@ WITH r AS (
 )
 """
 
+_P6 = r"""
+WITH i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[a : a + least(13, len(w)) - 1], ' ') AS words, least(13, len(w)) AS n FROM i, LATERAL (SELECT unnest(range(1, len(w) - least(13, len(w)) + 2)) AS a) WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[a : a + n - 1], ' ') AS words FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM d, (SELECT DISTINCT n FROM iw))),
+found AS (SELECT doc_id, item_id, count(DISTINCT words) AS leaked_windows FROM dw JOIN iw USING (words) GROUP BY 1, 2)
+"""
+_P1 = """
+WITH r AS (
+  SELECT DISTINCT 'document' AS record_type, document_id AS id, document_id AS owner, body AS text FROM enterprise_documents
+  UNION SELECT DISTINCT 'chunk', chunk_id, regexp_extract(chunk_id, '^(.*)-C', 1), text FROM chunks
+), part AS (
+  SELECT record_type, id, owner, substring(text, b + 1, 1199) AS text FROM (SELECT *, unnest(range(0, length(text) - 199, 1000)) AS b FROM r WHERE length(text) >= 200)
+), w AS (
+  SELECT record_type, id, owner, hash(substring(text, a, 200))::VARCHAR || hash(reverse(substring(text, a, 200)) || 'x')::VARCHAR AS h FROM (SELECT *, unnest(range(1, length(text) - 198)) AS a FROM part)
+), shared AS (
+  SELECT record_type, h FROM w GROUP BY 1, 2 HAVING min(owner) <> max(owner)
+), g AS (SELECT DISTINCT record_type, h, id, owner FROM w JOIN shared USING (record_type, h))
+"""
+
 SQL = {
+    "p1_found": _P1 + "SELECT DISTINCT a.record_type, a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.record_type = b.record_type AND a.h = b.h AND a.id < b.id AND a.owner <> b.owner",
+    "p6_found": _P6 + "SELECT doc_id, item_id FROM found",
+    "p6_leaks": _P6 + "SELECT * FROM found",
+    "p6_items": _P6 + "SELECT item_id, count(*) AS n_docs, max(leaked_windows) AS most_windows FROM found GROUP BY 1",
     "p3_found": r"""
 SELECT DISTINCT config_id, document_id,
   CASE WHEN list_max(list_transform(regexp_split_to_array(body, '\s+'), lambda w: length(w))) // 4 > max_tokens THEN 'forced' ELSE 'boundary' END AS cut_kind
