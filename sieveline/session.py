@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -12,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 SEEDS = (42, 1_000_003)
 
 
+_OWN: dict[str, str] = {}
+
+
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", name: str = "sieveline") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     return (
@@ -32,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = os.path.join(tempfile.gettempdir(), f"sieveline-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="spark-sieveline-"))
     return where.rstrip("/")
 
 
