@@ -99,7 +99,8 @@ def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str
     if len(units) >= 6:
         often = Counter(units)
         repeated = max(repeated, sum(len(u) * n for u, n in often.items() if n > 3) / (sum(map(len, units)) or 1))
-    if len(flat) >= 30 and (different := len(set(flat))) < 0.3 * len(flat):
+    varied = len(units) >= 6 and len(set(units)) > 0.5 * len(units)  # sentences that differ, if only in a number
+    if len(flat) >= 30 and not varied and (different := len(set(flat))) < 0.3 * len(flat):
         if different <= max(20, 0.03 * len(flat)) and different < 0.2 * len(flat) or len(set(zip(flat, flat[1:], flat[2:]))) < 0.12 * len(flat):
             repeated = 1.0
     return share["sentence"] / total, share["list"] / total, share["table"] / total, share["junk"] / total, (kinds.count("list") + kinds.count("table")) / (len(kinds) or 1), repeated
