@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Patterns of identifiers, kept whole and taken out in this order.
@@ -40,19 +40,43 @@ def index_text(section_path: str = "section_path", text: str = "text") -> Column
     return F.concat_ws(" ", F.concat_ws(" ", section_path), F.col(text))
 
 
-def tokens(text: Column, keep_stop_words: bool = False) -> Column:
-    """Tokens of a text as an array: identifiers whole, then lower-case words of two characters or more, without stop
-    words unless kept. Null or empty text gives an empty array."""
+#: Marks an identifier among raw tokens: it passes as it is.
+_MARK = "\u0001"
+
+
+def raw_tokens(text: Column) -> Column:
+    """Identifiers (marked) and what lies between them, split into lower-case words: for finished_token, row by row."""
     found, rest = [], F.coalesce(text, F.lit(""))
     for pattern in ID_PATTERNS:
-        found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), 1), lambda t: F.lower(t)))
+        found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), 1), lambda t: F.concat(F.lit(_MARK), F.lower(t))))
         rest = F.regexp_replace(rest, pattern, " ")
-    words = F.transform(F.split(F.lower(rest), WORD_SPLIT), lambda w: F.regexp_replace(w, r"^[_-]+|[_-]+$", ""))
-    words = F.filter(words, lambda w: F.length(w) >= 2)
+    return F.concat(*found, F.split(F.lower(rest), WORD_SPLIT))
+
+
+def with_raw_tokens(df: DataFrame, text: Column, out: str = "raw") -> DataFrame:
+    """df with raw_tokens(text) as a column. Each pattern is a step of its own, so every replacement runs once per text; as one
+    expression the nested replacements would be evaluated again for each pattern."""
+    df = df.withColumn("_rest", F.coalesce(text, F.lit("")))
+    for i, pattern in enumerate(ID_PATTERNS):
+        df = df.withColumn(f"_id{i}", F.regexp_extract_all("_rest", F.lit(pattern), 1)).withColumn("_rest", F.regexp_replace("_rest", pattern, " "))
+    found = [f"_id{i}" for i in range(len(ID_PATTERNS))]
+    marked = F.transform(F.concat(*found), lambda t: F.concat(F.lit(_MARK), F.lower(t)))
+    return df.withColumn(out, F.concat(marked, F.split(F.lower("_rest"), WORD_SPLIT))).drop("_rest", *found)
+
+
+def finished_token(raw: Column, keep_stop_words: bool = False) -> Column:
+    """The token of a raw token, or null for one that is dropped: words of one character, and stop words unless kept."""
+    word = F.btrim(raw, F.lit("_-"))
+    keep = F.length(word) >= 2
     if not keep_stop_words:
-        stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-        words = F.filter(words, lambda w: ~F.array_contains(stop, w))
-    return F.concat(*found, words)
+        keep = keep & ~word.isin(*STOP_WORDS)
+    return F.when(raw.startswith(_MARK), F.substring(raw, 2, 1 << 30)).when(keep, word)
+
+
+def tokens(text: Column, keep_stop_words: bool = False) -> Column:
+    """Tokens of a text as an array: identifiers whole, then lower-case words of two characters or more, without stop
+    words unless kept. Null or empty text gives an empty array."""
+    return F.filter(F.transform(raw_tokens(text), lambda w: finished_token(w, keep_stop_words)), lambda w: w.isNotNull())
 
 
 def question_type(text: Column) -> Column:

@@ -13,10 +13,12 @@ KS = (1, 3, 5, 10)
 MAX_RUNS = 1000
 
 
-def one_per_key(df: DataFrame, key: str, order: str = "ingested_at") -> DataFrame:
-    """The row of each non-null key that came last (all columns); repeated deliveries are combined before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    row = F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*[c for c in rest if not dict(df.dtypes)[c].startswith("map")]))).alias("x")
+def one_per_key(df: DataFrame, key: str, *columns: str, order: str = "ingested_at") -> DataFrame:
+    """key and columns (all if none are named) of the row of each non-null key that came last by order; repeated deliveries
+    are combined before the shuffle. Name the columns: others are then not read from the files."""
+    rest = list(columns) or [c for c in df.columns if c not in (key, order)]
+    tie = F.xxhash64(*[c for c in rest if not dict(df.dtypes)[c].startswith("map")]) if rest else F.lit(0)
+    row = F.max_by(F.struct(*rest), F.struct(F.col(order), tie)).alias("x")
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(row).select(key, *(F.col(f"x.{c}").alias(c) for c in rest))
 
 

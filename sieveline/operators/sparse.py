@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import tokens
+from ..functions.text import finished_token, tokens, with_raw_tokens
 from ..session import small, staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -15,9 +15,14 @@ BROADCAST_TERMS = 200_000
 
 
 def postings(chunks: DataFrame, text: Column) -> DataFrame:
-    """chunk_id, dl, term, tf for each term of each chunk. Chunks without a term have no posting."""
-    each = chunks.select("chunk_id", tokens(text).alias("t")).select("chunk_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    """chunk_id, dl, term, tf for each term of each chunk. Chunks without a term have no posting.
+
+    If chunks is already partitioned by chunk_id (as one_per_key leaves it), nothing is shuffled. explode_outer, as a
+    filter inferred from explode would tokenize every text a second time.
+    """
+    each = with_raw_tokens(chunks, text).select("chunk_id", F.explode_outer("raw").alias("raw")).select("chunk_id", finished_token(F.col("raw")).alias("term")).where("term IS NOT NULL")
+    counts = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return counts.withColumn("dl", F.sum("tf").over(W.partitionBy("chunk_id"))).select("chunk_id", "dl", "term", "tf")
 
 
 def inverse_frequencies(index: DataFrame, n_chunks: int) -> DataFrame:

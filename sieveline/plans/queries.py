@@ -18,24 +18,24 @@ RUN_METHODS = ("bm25", "dense", "hybrid")
 EVALUATED = ("bm25", "dense", "hybrid", "rule_planner", "llm_planner", "v2_oracle")
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.one_per_key(table(spark, folder, "chunks"), "chunk_id")
+def _chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return metrics.one_per_key(table(spark, folder, "chunks"), "chunk_id", *columns)
 
 
-def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.one_per_key(table(spark, folder, "enterprise_documents"), "document_id")
+def _docs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return metrics.one_per_key(table(spark, folder, "enterprise_documents"), "document_id", *columns)
 
 
-def _queries(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.one_per_key(table(spark, folder, "queries"), "query_id")
+def _queries(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return metrics.one_per_key(table(spark, folder, "queries"), "query_id", *columns)
 
 
-def _decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.one_per_key(table(spark, folder, "pilot_decisions"), "decision_id")
+def _decisions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return metrics.one_per_key(table(spark, folder, "pilot_decisions"), "decision_id", *columns)
 
 
-def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.one_per_key(table(spark, folder, "failure_analysis"), "failure_id")
+def _evaluated(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return metrics.one_per_key(table(spark, folder, "failure_analysis"), "failure_id", *columns)
 
 
 def _latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,19 +70,19 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    index = sparse.postings(_chunks(spark, folder), T.index_text())
+    index = sparse.postings(_chunks(spark, folder, "section_path", "text"), T.index_text())
     return index.groupBy("term").agg(F.sum("tf").alias("n_total"), F.count("*").alias("n_chunks"))
 
 
 def term_stats_idf(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder)
+    chunks = _chunks(spark, folder, "section_path", "text")
     idf = sparse.inverse_frequencies(staged(sparse.postings(chunks, T.index_text()), "postings"), chunks.count())
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
-    asked = _queries(spark, folder).where("cast(regexp_extract(query_id, '([0-9]+)$', 1) AS bigint) % 100 = 0")
-    return sparse.bm25(_chunks(spark, folder), asked, T.index_text())
+    asked = _queries(spark, folder, "query_text").where("cast(regexp_extract(query_id, '([0-9]+)$', 1) AS bigint) % 100 = 0")
+    return sparse.bm25(_chunks(spark, folder, "section_path", "text"), asked, T.index_text())
 
 
 def dense_top10(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +104,7 @@ def rrf_fusion_top10(spark: SparkSession, folder: str) -> DataFrame:
 def rrf_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Mean recall at 10 for each fusion constant, over the queries with required chunks."""
     lists = staged(_lists(spark, folder, 100, ("bm25", "dense")), "lists")
-    need = metrics.relevant(_queries(spark, folder))
+    need = metrics.relevant(_queries(spark, folder, "answerable", "required_chunk_ids"))
     found = fusion.sweep(lists).withColumn("chunk_id", refs.clean_key("chunk_id")).join(need, ["query_id", "chunk_id"]).groupBy("rrf_k", "query_id").agg(F.count("*").alias("n"))
     each = need.groupBy("query_id").agg(F.count("*").alias("m")).withColumn("rrf_k", F.explode(F.array(*(F.lit(k) for k in (10, 30, 60, 100)))))
     recall = each.join(found, ["rrf_k", "query_id"], "left").groupBy("rrf_k").agg(F.round(F.avg(F.coalesce(F.col("n"), F.lit(0)) / F.col("m")), 6).alias("recall"))
@@ -112,7 +112,7 @@ def rrf_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.query_metrics(_latest(spark, folder), metrics.relevant(_queries(spark, folder)))
+    return metrics.query_metrics(_latest(spark, folder), metrics.relevant(_queries(spark, folder, "answerable", "required_chunk_ids")))
 
 
 def query_metrics_at_k(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,31 +124,31 @@ def macro_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metrics_by_attribute(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.means_by_attributes(_metrics(spark, folder), _queries(spark, folder))
+    return metrics.means_by_attributes(_metrics(spark, folder), _queries(spark, folder, "category", "reasoning_type", "difficulty"))
 
 
 def metrics_by_factor(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.means_by_factor(_metrics(spark, folder), _queries(spark, folder))
+    return metrics.means_by_factor(_metrics(spark, folder), _queries(spark, folder, "retrieval_difficulty_factors"))
 
 
 def failure_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.failure_patterns(_evaluated(spark, folder))
+    return analysis.failure_patterns(_evaluated(spark, folder, "method", "recall_at_k", "category", "reasoning_type", "difficulty", "oracle_strategy"))
 
 
 def top_failures(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.top_failures(_evaluated(spark, folder))
+    return analysis.top_failures(_evaluated(spark, folder, "method", "query_id", "recall_at_k", "mrr", "n_relevant"))
 
 
 def comparison_vs_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.comparison(_evaluated(spark, folder), "hybrid", "bm25")
+    return analysis.comparison(_evaluated(spark, folder, "method", "recall_at_k", "category"), "hybrid", "bm25")
 
 
 def multi_method_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.method_matrix(_evaluated(spark, folder), EVALUATED, "hybrid")
+    return analysis.method_matrix(_evaluated(spark, folder, "method", "recall_at_k", "mrr", "ndcg"), EVALUATED, "hybrid")
 
 
 def _contributions(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.contributions(metrics.relevant(_queries(spark, folder)), _lists(spark, folder, 10))
+    return analysis.contributions(metrics.relevant(_queries(spark, folder, "answerable", "required_chunk_ids")), _lists(spark, folder, 10))
 
 
 def contribution_overall(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,61 +156,61 @@ def contribution_overall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contribution_by_category(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = _queries(spark, folder).select("query_id", analysis.known("category").alias("category"))
+    kinds = _queries(spark, folder, "category").select("query_id", analysis.known("category").alias("category"))
     return analysis.contribution_shares(_contributions(spark, folder).join(kinds, "query_id"), "category")
 
 
 def rule_planner_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return planning.rule_decisions(_queries(spark, folder)).withColumn("matched_rules", F.array_join("matched_rules", "|"))
+    return planning.rule_decisions(_queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy")).withColumn("matched_rules", F.array_join("matched_rules", "|"))
 
 
 def planner_confusion(spark: SparkSession, folder: str) -> DataFrame:
-    return planning.confusion(_decisions(spark, folder))
+    return planning.confusion(_decisions(spark, folder, "selected_strategy", "oracle_strategy_mapped", "is_correct"))
 
 
 def planner_grouped_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return planning.grouped_accuracy(_decisions(spark, folder), ("category", "reasoning_type", "prompt_version", "model"))
+    return planning.grouped_accuracy(_decisions(spark, folder, "selected_strategy", "is_correct", "oracle_discrepancy", "category", "reasoning_type", "prompt_version", "model"), ("category", "reasoning_type", "prompt_version", "model"))
 
 
 def rule_contributions(spark: SparkSession, folder: str) -> DataFrame:
-    return planning.rule_contributions(planning.rule_decisions(_queries(spark, folder)))
+    return planning.rule_contributions(planning.rule_decisions(_queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy")))
 
 
 def strategy_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return planning.strategy_distribution(_decisions(spark, folder))
+    return planning.strategy_distribution(_decisions(spark, folder, "selected_strategy", "is_correct"))
 
 
 def planner_run_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    return fusion.assemble(planning.rule_decisions(_queries(spark, folder)), _lists(spark, folder, 10)).select("query_id", "method", "chunk_id", "rank")
+    return fusion.assemble(planning.rule_decisions(_queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy")), _lists(spark, folder, 10)).select("query_id", "method", "chunk_id", "rank")
 
 
 def mock_planner_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return planning.mock_decisions(_queries(spark, folder), "structured")
+    return planning.mock_decisions(_queries(spark, folder, "planner_oracle_strategy"), "structured")
 
 
 def llm_cost_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.cost_analysis(_decisions(spark, folder), "model")
+    return analysis.cost_analysis(_decisions(spark, folder, "model", "latency_s", "prompt_tokens", "completion_tokens", "estimated_cost_usd"), "model")
 
 
 def llm_latency_p95(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.distribution_percentiles(_decisions(spark, folder), "latency_s", (50, 95), "model")
+    return analysis.distribution_percentiles(_decisions(spark, folder, "model", "latency_s"), "latency_s", (50, 95), "model")
 
 
 def llm_error_categories(spark: SparkSession, folder: str) -> DataFrame:
-    wrong = _decisions(spark, folder).where("NOT is_correct").withColumn("error", planning.error_category())
+    wrong = _decisions(spark, folder, "is_correct", "prompt_version", "oracle_strategy_source", "reasoning_type", "difficulty_factors", "category").where("NOT is_correct").withColumn("error", planning.error_category())
     return wrong.groupBy("error", analysis.known("reasoning_type").alias("reasoning_type")).agg(F.count("*").alias("n"))
 
 
 def prompt_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.cost_analysis(_decisions(spark, folder), "prompt_version")
+    return analysis.cost_analysis(_decisions(spark, folder, "prompt_version", "latency_s", "prompt_tokens", "completion_tokens", "estimated_cost_usd"), "prompt_version")
 
 
 def pilot_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.pilot_summary(_decisions(spark, folder), "prompt_version", "model")
+    return analysis.pilot_summary(_decisions(spark, folder, "prompt_version", "model", "parse_success", "fallback_used", "parse_attempts", "latency_s"), "prompt_version", "model")
 
 
 def heuristic_classify(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = _queries(spark, folder).select(T.question_type(F.col("query_text")).alias("by_wording"), analysis.known("reasoning_type").alias("reasoning_type"))
+    kinds = _queries(spark, folder, "query_text", "reasoning_type").select(T.question_type(F.col("query_text")).alias("by_wording"), analysis.known("reasoning_type").alias("reasoning_type"))
     return kinds.groupBy("by_wording", "reasoning_type").agg(F.count("*").alias("n"))
 
 
@@ -223,7 +223,7 @@ def validation_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.verdicts(_scored(spark, folder), _queries(spark, folder))
+    return validation.verdicts(_scored(spark, folder), _queries(spark, folder, "reasoning_type"))
 
 
 def validation_decisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +231,7 @@ def validation_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _outcome(spark: SparkSession, folder: str) -> DataFrame:
-    start = planning.rule_decisions(_queries(spark, folder)).select("query_id", F.col("selected_strategy").alias("strategy"))
+    start = planning.rule_decisions(_queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy")).select("query_id", F.col("selected_strategy").alias("strategy"))
     return validation.retry(start, staged(_verdicts(spark, folder), "verdicts"))
 
 
@@ -240,7 +240,7 @@ def loop_outcome(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pipeline_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.loop_statistics(_outcome(spark, folder), _queries(spark, folder))
+    return validation.loop_statistics(_outcome(spark, folder), _queries(spark, folder, "reasoning_type"))
 
 
 def dedup_keep_max_rerank(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,7 +252,7 @@ def dedup_keep_best_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.extractive_answers(_scored(spark, folder).where("method = 'hybrid'"), _chunks(spark, folder))
+    return validation.extractive_answers(_scored(spark, folder).where("method = 'hybrid'"), _chunks(spark, folder, "text"))
 
 
 def citation_extract(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,14 +262,14 @@ def citation_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 def slot_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Questions with a slot, the slot filled with the first required document."""
-    q = _queries(spark, folder).withColumn("slots", T.slots(F.col("query_text"))).where(F.size("slots") > 0)
+    q = _queries(spark, folder, "query_text", "required_document_ids").withColumn("slots", T.slots(F.col("query_text"))).where(F.size("slots") > 0)
     value = F.coalesce(F.try_element_at("required_document_ids", F.lit(1)), F.lit("?"))
     return q.select("query_id", F.array_join("slots", ",").alias("slots"), T.fill_slot(F.col("query_text"), "id", value).alias("filled"))
 
 
 def plan_json_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Strategy and confidence read out of the responses, and how often they are what was recorded."""
-    d = _decisions(spark, folder).withColumn("json", T.outer_json(F.col("raw_response")))
+    d = _decisions(spark, folder, "raw_response", "selected_strategy").withColumn("json", T.outer_json(F.col("raw_response")))
     parsed = F.from_json("json", "selected_strategy string, confidence string")
     d = d.withColumn("strategy", F.lower(F.trim(parsed["selected_strategy"]))).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expr("try_cast(from_json(json, 'confidence string').confidence AS double)"))))
     valid = F.when(F.col("strategy").isin(*planning.STRATEGIES), F.col("strategy")).otherwise("none")
@@ -278,38 +278,38 @@ def plan_json_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Where each chunk's text stands in its document, against its recorded offset."""
-    chunks = _chunks(spark, folder)
-    found = evidence.locate_quotes(chunks.select("chunk_id", "document_id", "text"), _docs(spark, folder))
+    chunks = _chunks(spark, folder, "document_id", "text", "char_start")
+    found = evidence.locate_quotes(chunks.select("chunk_id", "document_id", "text"), _docs(spark, folder, "body"))
     return found.join(chunks.select("chunk_id", F.col("char_start").cast("long").alias("char_start")), "chunk_id").select("chunk_id", F.col("found_at").cast("long").alias("found_at"), "char_start", F.coalesce(F.col("found_at") == F.col("char_start"), F.lit(False)).alias("as_recorded"))
 
 
 def document_sections(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.sections(_docs(spark, folder))
+    return evidence.sections(_docs(spark, folder, "body"))
 
 
 def section_of_offset(spark: SparkSession, folder: str) -> DataFrame:
-    s = evidence.sections(_docs(spark, folder)).select("document_id", F.col("section_no").alias("no"), F.col("char_start").alias("start"), F.col("char_end").alias("end"))
-    p = _chunks(spark, folder).where("char_start IS NOT NULL AND document_id IS NOT NULL").select("document_id", F.col("chunk_id").alias("point_id"), F.col("char_start").cast("long").alias("at"))
+    s = evidence.sections(_docs(spark, folder, "body")).select("document_id", F.col("section_no").alias("no"), F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+    p = _chunks(spark, folder, "document_id", "char_start").where("char_start IS NOT NULL AND document_id IS NOT NULL").select("document_id", F.col("chunk_id").alias("point_id"), F.col("char_start").cast("long").alias("at"))
     return evidence.containing(p, s).select("point_id", "at", F.col("no").alias("section_no"))
 
 
 def asof_chunk_of_section(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk that begins last before each section, or else the first of the document."""
-    s = evidence.sections(_docs(spark, folder)).select(F.col("document_id").alias("key"), F.concat_ws("#", "document_id", F.col("section_no").cast("string")).alias("point_id"), F.col("char_start").alias("at"))
-    m = _chunks(spark, folder).where("char_start IS NOT NULL AND document_id IS NOT NULL").select(F.col("document_id").alias("key"), F.col("chunk_id").alias("mark_id"), F.col("char_start").cast("long").alias("at"))
+    s = evidence.sections(_docs(spark, folder, "body")).select(F.col("document_id").alias("key"), F.concat_ws("#", "document_id", F.col("section_no").cast("string")).alias("point_id"), F.col("char_start").alias("at"))
+    m = _chunks(spark, folder, "document_id", "char_start").where("char_start IS NOT NULL AND document_id IS NOT NULL").select(F.col("document_id").alias("key"), F.col("chunk_id").alias("mark_id"), F.col("char_start").cast("long").alias("at"))
     return evidence.as_of(s, m).select("point_id", "at", "mark_id")
 
 
 def chunk_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk_statistics(_chunks(spark, folder), "category", "chunk_strategy")
+    return chunking.chunk_statistics(_chunks(spark, folder, "document_id", "category", "chunk_strategy", "text"), "category", "chunk_strategy")
 
 
 def chunk_token_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.token_percentiles(_chunks(spark, folder), "category").withColumn("percent", F.col("percent").cast("long")).withColumn("value", F.col("value").cast("long"))
+    return chunking.token_percentiles(_chunks(spark, folder, "category", "text"), "category").withColumn("percent", F.col("percent").cast("long")).withColumn("value", F.col("value").cast("long"))
 
 
 def _cut(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
-    return chunking.chunk(_docs(spark, folder), strategy)
+    return chunking.chunk(_docs(spark, folder, "body"), strategy)
 
 
 def chunk_section_aware(spark: SparkSession, folder: str) -> DataFrame:
@@ -344,29 +344,29 @@ def first_last_event(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_two_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _docs(spark, folder).where("title IS NOT NULL")
+    docs = _docs(spark, folder, "category", "title", "created_at").where("title IS NOT NULL")
     return evidence.first_rows(docs, "category", ["created_at", "document_id"]).select("category", "place", "document_id")
 
 
 def references_of_meetings(spark: SparkSession, folder: str) -> DataFrame:
     """Live documents that meeting notes refer to, with their categories (a self-join by reference)."""
-    docs = _docs(spark, folder)
+    docs = _docs(spark, folder, "category", "reference_ids")
     out = docs.where("category = 'Project Meeting Notes'").select(F.col("document_id").alias("meeting_id"), F.explode(F.array_distinct("reference_ids")).alias("r")).select("meeting_id", refs.clean_key("r").alias("document_id"))
     return out.join(docs.select("document_id", F.col("category").alias("target_category")), "document_id").groupBy("target_category").agg(F.count("*").alias("n_references"), F.countDistinct("meeting_id").alias("n_meetings"))
 
 
 def label_rebalance(spark: SparkSession, folder: str) -> DataFrame:
-    labels = _queries(spark, folder).select("query_id", F.col("planner_oracle_strategy").alias("label")).where("label IS NOT NULL")
+    labels = _queries(spark, folder, "planner_oracle_strategy").select("query_id", F.col("planner_oracle_strategy").alias("label")).where("label IS NOT NULL")
     target = {"keyword": 0.20, "dense": 0.20, "hybrid": 0.24, "table_aware": 0.12, "multi_hop": 0.12, "metadata_filtered": 0.12}
     return analysis.rebalance(labels, target, (("keyword", "hybrid"), ("table_aware", "metadata_filtered"))).groupBy("label", "new_label").agg(F.count("*").alias("n"))
 
 
 def oracle_validation(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.best_methods(_evaluated(spark, folder))
+    return analysis.best_methods(_evaluated(spark, folder, "method", "recall_at_k", "reasoning_type"))
 
 
 def label_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.stack(_queries(spark, folder), ("category", "reasoning_type", "difficulty", "planner_oracle_strategy", "lang")).groupBy("attribute", "value").agg(F.count("*").alias("n"))
+    return analysis.stack(_queries(spark, folder, "category", "reasoning_type", "difficulty", "planner_oracle_strategy", "lang"), ("category", "reasoning_type", "difficulty", "planner_oracle_strategy", "lang")).groupBy("attribute", "value").agg(F.count("*").alias("n"))
 
 
 FLAGSHIP = bm25_top10
