@@ -233,19 +233,25 @@ def _tail(words: list[str]) -> str:
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often one or two words stand at the end of a sentence and elsewhere, per batch."""
+    known: dict[str, tuple[str, bool]] = {}
     for b in batches:
         total, final = Counter(), Counter()
         for response in b.column("response").to_pylist():
-            words = parse(response)[2].split()
-            for i, w in enumerate(words):
-                end = bool(_STOP.search(w))
-                if i + 1 == len(words) and not end:
-                    break
-                for n in (1, 2):
-                    if i + 1 >= n:
-                        t = _tail(words[i + 1 - n : i + 1])
-                        total[t] += 1
-                        final[t] += end
+            words = []
+            for w in parse(response)[2].split():
+                if w not in known:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[w] = (_tail([w]), bool(_STOP.search(w)))
+                words.append(known[w])
+            if words and not words[-1][1]:
+                words.pop()  # not known to be an end
+            tails = [t for t, _ in words]
+            two = [f"{a} {t}" for a, t in zip(tails, tails[1:])]
+            total.update(tails)
+            total.update(two)
+            final.update(t for t, end in words if end)
+            final.update(t for t, (_, end) in zip(two, words[1:]) if end)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(total.values(), pa.int64()), pa.array([final[t] for t in total], pa.int64())], names=["tail", "n", "n_final"])
 
 
