@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, chunking, constraints, dense, evidence, fusion, metrics, planning, sparse, validation
+from ..operators import analysis, chunking, constraints, dense, evidence, fusion, metrics, planning, sparse, tables, validation
 from ..operators import references as refs
 from ..session import staged
 from ..sources.tables import table
@@ -369,6 +369,22 @@ def label_counts(spark: SparkSession, folder: str) -> DataFrame:
     return analysis.stack(_queries(spark, folder, "category", "reasoning_type", "difficulty", "planner_oracle_strategy", "lang"), ("category", "reasoning_type", "difficulty", "planner_oracle_strategy", "lang")).groupBy("attribute", "value").agg(F.count("*").alias("n"))
 
 
+def table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.fitted(tables.table_rows(_chunks(spark, folder, "text")))
+    return rows.select("chunk_id", "line_no", F.array_join("cells", "|").alias("cells"), "is_header", "width")
+
+
+def numbered_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.numbered_sections(_docs(spark, folder, "body"))
+
+
+def repeated_projects(spark: SparkSession, folder: str) -> DataFrame:
+    """Projects with at least three meeting records: how many, and the characters of their texts (sum with a lower bound on the group)."""
+    docs = table(spark, folder, "documents").where("source = 'meeting_archive' AND project_code IS NOT NULL")
+    sums = docs.groupBy("project_code").agg(F.count("*").alias("n_records"), F.sum(F.length("text")).alias("n_chars"), F.date_format(F.min("collected_at"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("collected_at"), "yyyy-MM-dd").alias("last_day"))
+    return sums.where("n_records >= 3")
+
+
 FLAGSHIP = bm25_top10
 QUERIES = {
     f.__name__: f
@@ -378,6 +394,6 @@ QUERIES = {
         planner_grouped_distribution, rule_contributions, strategy_distribution, planner_run_assembly, mock_planner_decisions, llm_cost_analysis, llm_latency_p95, llm_error_categories, prompt_comparison,
         pilot_summary, heuristic_classify, validation_scores, validation_decisions, loop_outcome, pipeline_stats, dedup_keep_max_rerank, dedup_keep_best_rank, extractive_answers, citation_extract,
         slot_fill, plan_json_parse, evidence_spans, document_sections, section_of_offset, asof_chunk_of_section, chunk_statistics, chunk_token_percentiles, chunk_section_aware, chunk_fixed,
-        chunk_recursive, dq_violations, dq_duplicates, first_last_event, first_two_documents, references_of_meetings, label_rebalance, oracle_validation, label_counts, p4_found, p4_counts,
+        chunk_recursive, dq_violations, dq_duplicates, first_last_event, first_two_documents, references_of_meetings, label_rebalance, oracle_validation, label_counts, table_rows, numbered_sections, repeated_projects, p4_found, p4_counts,
     )
 }

@@ -224,6 +224,13 @@ SQL = {
  SELECT label, CASE WHEN place <= m THEN taker ELSE label END AS new_label, count(*) AS n FROM o LEFT JOIN move ON giver = label GROUP BY 1, 2""",
     "oracle_validation": f"""WITH {_EV}, m AS (SELECT coalesce(nullif(reasoning_type, ''), 'unknown') AS value, method, round(avg(recall_at_k), 4) AS recall, count(*) AS n FROM ev GROUP BY 1, 2),
  o AS (SELECT *, row_number() OVER w AS place, round(recall - lead(recall) OVER w, 4) AS lead_over_next FROM m WINDOW w AS (PARTITION BY value ORDER BY recall DESC NULLS LAST, method)) SELECT value, method AS best_method, recall, n, lead_over_next FROM o WHERE place = 1""",
+    "table_rows": f"""WITH {_CH}, ln AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM ch WHERE contains(text, '|')), tr AS (SELECT chunk_id, line_no, trim(replace(line, chr(13), '')) AS line FROM ln),
+ r AS (SELECT *, regexp_matches(line, '^[|]([ ]*:?-+:?[ ]*[|])+$') AS sep FROM tr WHERE regexp_matches(line, '^[|].*[|]$')),
+ h AS (SELECT *, coalesce(lead(sep) OVER w AND lead(line_no) OVER w = line_no + 1, false) AS is_header FROM r WINDOW w AS (PARTITION BY chunk_id ORDER BY line_no)),
+ c AS (SELECT chunk_id, line_no, list_transform(string_split(substring(line, 2, length(line) - 2), '|'), lambda x: trim(x)) AS cells, is_header FROM h WHERE NOT sep),
+ f AS (SELECT *, last_value(CASE WHEN is_header THEN len(cells) END IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS width FROM c)
+ SELECT chunk_id, line_no, array_to_string(CASE WHEN width IS NULL THEN cells ELSE list_resize(cells, width, '') END, '|') AS cells, is_header, width FROM f""",
+    "repeated_projects": "SELECT project_code, count(*) AS n_records, sum(length(text))::BIGINT AS n_chars, strftime(min(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS first_day, strftime(max(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS last_day FROM documents WHERE source = 'meeting_archive' AND project_code IS NOT NULL GROUP BY 1 HAVING count(*) >= 3",
     "label_counts": f"WITH {_Q} SELECT attribute, value, count(*) AS n FROM (" + _stack("q", ("category", "reasoning_type", "difficulty", "planner_oracle_strategy", "lang")) + ") GROUP BY 1, 2",
     "p4_found": _P4 + "SELECT * FROM found",
     "p4_counts": _P4 + """
