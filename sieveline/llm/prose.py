@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W_]+")
 _BULLET = re.compile(r"\s*(?:[-*•‣◦–+]|\[[ xX]\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _END = ('.', '!', '?', '…', '。', '"', '”', '»', '’', ')')
+_EDGES = ".,;:!?…()[]\"'«»“”„*_`"
+_HEX = re.compile(r"\b(?:[0-9a-fA-F]{2}|[0-9a-fA-F]{8})\b")
 _CELLS = re.compile(r"\S {2,}(?=\S)")
 _VERB_END = re.compile(r"(?:다|까|요)[.?!]?(?=\s|$)")
 _LEADER = re.compile(r"\.{4,}\s*\d*\s*$")
@@ -26,21 +28,22 @@ STATS = (
 )
 
 
-def _is_sentence(line: str, words: list[str], common: set[str]) -> bool:
-    if len(words) < 4 or _symbols(line) > 0.25:
-        return False
-    share = sum(w in common for w in words) / len(words)
-    return share >= 0.15 or (share > 0 or len(words) >= 5) and bool(_VERB_END.search(line))
+def _symbols(line: str, words: list[str]) -> float:
+    """Share of the characters, without blanks and dots, that are neither letters nor digits."""
+    solid = len(line) - line.count(" ") - line.count("\t") - line.count(".")
+    return 1 - sum(map(len, words)) / solid if solid > 0 else 0.0
 
 
-def _symbols(line: str) -> float:
-    """Share of the characters, without blanks and dots, that are neither letters nor digits."""
-    solid = line.replace(" ", "").replace("\t", "").replace(".", "")
-    return 1 - sum(map(len, _WORD.findall(solid))) / len(solid) if solid else 0.0
+def _is_sentence(line: str, words: list[str], symbols: float, common: set[str]) -> bool:
+    if len(words) < 4 or symbols > 0.25:
+        return False
+    spaced = line.lower().split()  # 'n/a' and 'd'audit' hold no common word
+    share = sum(w in common or w.strip(_EDGES) in common for w in spaced) / len(spaced)
+    return share >= 0.15 or (share > 0 or len(words) >= 5) and bool(_VERB_END.search(line))
 
 
 def _damage(line: str) -> float:
-    """Share of the characters that no language puts there: wrong decoding, stray symbols, digits inside of words."""
+    """Share of the characters that no language puts there: wrong decoding and stray symbols."""
     n = len(line.replace(" ", "")) or 1
     return (3 * len(_BROKEN.findall(line)) + 2 * len(_NOISE.findall(line))) / n
 
@@ -54,36 +57,42 @@ def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str
     cells = []
     for x in lines:
         s = x.strip()
+        # Rows with empty cells have fewer gaps, so only commas, which sentences have too, must be as many in each row.
         if s.count("|") >= 2 and s.count(" > ") == 0 and len(s) < 400:
-            cells.append(("|", s.strip("|").count("|")))
-        elif "\t" in s:
-            cells.append(("\t", s.count("\t")))
-        elif k := len(_CELLS.findall(s)):
-            cells.append((" ", k))
-        elif k := s.count(";") if not s.endswith(";") else 0:
-            cells.append((";", k))
+            cells.append(("|", 0))
+        elif "\t" in x.strip(" "):
+            cells.append(("\t", 0))
+        elif _CELLS.search(s):
+            cells.append((" ", 0))
+        elif ";" in s[:-1]:
+            cells.append((";", 0))
         elif k := s.count(","):
             cells.append((",", k))
         else:
             cells.append(("", 0))
     same = Counter(c for c in cells if c[0])
-    known = Counter(x.strip() for x in lines)
+    known = Counter(map(str.strip, lines)) if len(lines) >= 8 else {}
     before = ""
+    odd = bool(_BROKEN.search(text) or _NOISE.search(text))
     for x, w, c in zip(lines, words, cells):
         n = len(x.strip())
         bullet = _BULLET.match(x)
         if bullet:  # 'a)' is a label, no word
             x = x[bullet.end() :]
             w = _WORD.findall(x.lower())
-        if c[0] and same[c] >= 3 and same[c] >= 0.3 * len(lines) and n < 400 and not bullet and not _is_sentence(x, w, common):
+        symbols = _symbols(x, w)
+        sentence = _is_sentence(x, w, symbols, common)
+        if len(w) > 9 and len(w[1]) == 2 and len(_HEX.findall(x)) > 0.8 * len(w):
+            kind = "junk"  # a dump of bytes
+        elif c[0] and same[c] >= 3 and same[c] >= 0.3 * len(lines) and n < 400 and not bullet and not sentence:
             kind = "table"
-        elif _damage(x) > 0.12 or _symbols(x) > 0.4:
+        elif symbols > 0.4 or odd and _damage(x) > 0.12:
             kind = "junk"
-        elif _is_sentence(x, w, common):
+        elif sentence:
             kind = "sentence"
         elif not bullet and before == "sentence" and len(w) < 4 and len(lines) < 400 and n < 60 and x.rstrip().endswith(_END):
             kind = "sentence"  # the end of a wrapped sentence
-        elif n > 200 or not w or max(map(len, x.split())) >= 40:
+        elif n > 200 or len(w) > 14 or not w or max(map(len, x.split())) >= 40:
             kind = "junk"  # no line of a list: endless, without a word, or one unbroken string
         else:
             kind = "list"
@@ -165,14 +174,13 @@ def failed_rules() -> Column:
     return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda r: r.isNotNull())
 
 
-def text_kind(sentence: float = 0.5, clear: float = 0.65, entries: float = 0.75, repeated: float = 0.6) -> Column:
-    """'junk' if one fragment makes up most of the text; 'prose' if half or more of the characters are sentences (up to
-    `clear`, only if less than `entries` of the lines are list entries or table rows); else the largest of 'junk',
-    'table' and 'list'."""
+def text_kind(sentence: float = 0.5, repeated: float = 0.6) -> Column:
+    """'junk' if one fragment makes up most of the text; 'prose' if half or more of the characters are sentences; else the
+    largest of 'junk', 'table' and 'list'."""
     largest = F.greatest("junk_share", "table_share", "list_share")
     return (
         F.when(F.col("repeat_ratio") >= repeated, "junk")
-        .when((F.col("sentence_share") >= clear) | ((F.col("sentence_share") >= sentence) & (F.col("entry_ratio") < entries)), "prose")
+        .when(F.col("sentence_share") >= sentence, "prose")
         .when(F.col("junk_share") == largest, "junk")
         .when(F.col("table_share") == largest, "table")
         .otherwise("list")

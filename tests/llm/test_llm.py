@@ -349,9 +349,12 @@ TEXTS = {
     "base64": "\n".join("".join(rnd.choice("abcdefABCDEF0123+/") for _ in range(76)) for _ in range(12)),
     "navigation": " | ".join(rnd.choice(["Home", "Menu", "Login", "Next"]) for _ in range(90)),
     "again": "The plan of the team is in the file. " * 40,
+    "dump": "\n".join(f"{i:08x}  " + " ".join(f"{rnd.randrange(256):02x}" for _ in range(16)) for i in range(0, 160, 16)),
+    "short noise": "lgf ghdgdk jsj fjklsgs gjhsdjldjhs gfsjfj dhjalfj kakgjkfaa gadf jlfajl gljljdla hslgaf aafjs fgh gkl",
+    "empty cells": "code;limit;site\n" + "\n".join(f"n/a;{i};;" for i in range(20)),
     "code": "".join(f"function a{i}(t,e){{return t[{i}]&&e.u||!{i}}};" for i in range(60)),
 }
-KIND = {k: "list" for k in ("list", "contents", "lettered list with a sentence")} | {k: "table" for k in ("table", "csv", "columns")} | {k: "junk" for k in ("noise", "letters", "base64", "navigation", "again", "code")}
+KIND = {k: "list" for k in ("list", "contents", "lettered list with a sentence")} | {k: "table" for k in ("table", "csv", "columns", "empty cells")} | {k: "junk" for k in ("noise", "letters", "base64", "navigation", "again", "code", "dump", "short noise")}
 
 
 def test_text_kinds(spark):
