@@ -24,6 +24,8 @@ from .chars import BASE
 SIZE, SHINGLE = 13, 5
 #: Item shingles that may go to every task (8 bytes each); beyond it all shingles of the corpus are shuffled.
 MAX_SHINGLES = 2_000_000
+#: Windows that may be broadcast with their words (about 300 bytes each); beyond it they are joined by shuffle.
+MAX_PREFIXES = 200_000
 #: Words worked on at once.
 BLOCK = 1 << 19
 
@@ -164,7 +166,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     if small(shingles, max_shingles):
         wanted = np.sort(np.array([r[0] for r in shingles.collect()], np.int64))
     if not widths:
-        return d.join(i.limit(0), F.lit(False)).select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.lit(0).cast("long").alias("leaked_windows"))
+        return d.select(F.col("doc").alias(doc_id), F.lit(None).cast(kind).alias(item_id), F.lit(0).cast("long").alias("leaked_windows")).limit(0)
 
     counts = d.mapInArrow(_scan(widths, wanted, size, True), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rarest = W.partitionBy("item", "words").orderBy("n", "shingle", "offset")
@@ -176,7 +178,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         if not len(wanted):
             wanted = np.array([0], np.int64)
     hits = d.mapInArrow(_scan(widths, wanted, size, False), f"doc {doc_kind}, shingle long, width long, before string, after string")
-    joined = hits.join(F.broadcast(prefix) if wanted is not None and small(prefix, max_shingles) else prefix, ["shingle", "width"])
+    joined = hits.join(F.broadcast(prefix) if small(prefix, min(MAX_PREFIXES, max_shingles)) else prefix, ["shingle", "width"])
     before, after = F.when(F.col("before") == "", F.array().cast("array<string>")).otherwise(F.split("before", " ")), F.split("after", " ")
     # The bounds: enough words before and after the shingle for the window to lie there.
     fits = (F.size(before) >= F.col("offset")) & (F.size(after) >= F.col("length") - F.col("offset"))
