@@ -385,7 +385,7 @@ def repeated_projects(spark: SparkSession, folder: str) -> DataFrame:
     return sums.where("n_records >= 3")
 
 
-FLAGSHIP = bm25_top10
+FLAGSHIP = rrf_fusion_top10
 QUERIES = {
     f.__name__: f
     for f in (
