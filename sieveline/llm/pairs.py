@@ -23,6 +23,7 @@ _OPENERS = {"{": "}", "[": "]"}
 _NOTHING = ("null", "none", "nil", "undefined", "nan", "n/a")
 _FENCE = re.compile(r"```[\w+-]*[ \t]*(?:\r?\n|\Z)?")
 _WORD = re.compile(r"[^\W_]+")
+_LABEL = re.compile(r"^\W*\w{1,12}:\s+")
 _STOP = re.compile(r"[.!?…。][\"'”»)\]]*$")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
 _HANGUL = re.compile(r"[가-힣]")
@@ -158,6 +159,8 @@ def tiled(answer: list[str], prompt: list[str], least: int = 2) -> tuple[float,
 
 
 def is_copy(wording: str, prompt: str) -> bool:
+    """Whether the wording is made of the prompt's words and of nothing else; a leading label ('Question:') is no wording."""
+    wording = _LABEL.sub("", wording)
     a, p = _WORD.findall(wording.lower()), _WORD.findall(prompt.lower())
     if not a or not p or len(a) < 0.6 * len(p):
         return False
@@ -197,32 +200,32 @@ def language(wording: str, prompt: str, expected: str, profiles: dict[str, froze
 
 
 def _judge(profiles: dict[str, frozenset[str]]):
-    """id, defect (null: none so far), tail2 and tail1: the last words of an answer that ends without a stop."""
+    """id, defect (null: none so far), and tail: the last two words of an answer that ends without a stop."""
 
-    def one(response: str | None, prompt: str | None, lang: str | None) -> tuple[str | None, str | None, str | None]:
+    def one(response: str | None, prompt: str | None, lang: str | None) -> tuple[str | None, str | None]:
         if response is None or not response.strip():
-            return "empty", None, None
+            return "empty", None
         whole, enveloped, wording, rest = parse(response)
         if whole and not _WORD.search(wording) and not _WORD.search(rest):
-            return "empty", None, None
+            return "empty", None
         if len(wording.split()) <= REFUSAL_WORDS and any(p.search(wording.replace("’", "'")) for p in REFUSALS):
-            return "refusal", None, None
+            return "refusal", None
         if whole and prompt and is_copy(wording, prompt) and (not rest or is_copy(rest, prompt)):
-            return "copy", None, None
+            return "copy", None
         if not whole:
-            return "truncated", None, None
+            return "truncated", None
         text = rest if rest and not enveloped else wording
         other = language(wording, prompt or "", lang, profiles) if lang and prompt else None
         words = text.split()
         if len(words) > 1 and not _STOP.search(text.rstrip()):
-            return ("?" + other) if other else None, _tail(words[-2:]), _tail(words[-1:])
-        return "language" if other else None, None, None
+            return "language" if other else None, _tail(words[-2:])
+        return "language" if other else None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [one(*r) for r in zip(*(b.column(c).to_pylist() for c in ("response", "prompt", "lang")))]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.string()) for c in cols)], names=["id", "defect", "tail2", "tail1"])
+            cols = list(zip(*rows)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.string()) for c in cols)], names=["id", "defect", "tail"])
 
     return run
 
@@ -232,7 +235,7 @@ def _tail(words: list[str]) -> str:
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often one or two words stand at the end of a sentence and elsewhere, per batch."""
+    """How often two words stand next to each other, and how often a sentence ends with them, per batch."""
     known: dict[str, tuple[str, bool]] = {}
     for b in batches:
         total, final = Counter(), Counter()
@@ -248,9 +251,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.pop()  # not known to be an end
             tails = [t for t, _ in words]
             two = [f"{a} {t}" for a, t in zip(tails, tails[1:])]
-            total.update(tails)
             total.update(two)
-            final.update(t for t, end in words if end)
             final.update(t for t, (_, end) in zip(two, words[1:]) if end)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(total.values(), pa.int64()), pa.array([final[t] for t in total], pa.int64())], names=["tail", "n", "n_final"])
 
@@ -259,9 +260,9 @@ def defects(pairs: DataFrame, common_words: DataFrame, ends: float = 0.5, max_wo
     """id and defect of each broken pair: pairs has id, prompt, response, lang (of the prompt).
 
     'empty': no response (also null), or an envelope without content. 'refusal': declines to answer. 'copy': says only
-    what the prompt says. 'truncated': a fence, bracket or string stays open, or the last sentence has no stop and ends
-    in words that end less than `ends` of the sentences of all responses in which they stand (as 'because the' or half
-    a word do). 'language': worded in another language than lang. A pair gets the first of these that holds. With a null prompt
+    what the prompt says. 'truncated': a fence, bracket or string stays open, or the last sentence has no stop and its
+    last two words, where they stand in the responses of all pairs, end a sentence less than `ends` of the time, or stand
+    nowhere else (as 'because the' or half a word do). 'language': worded in another language than lang. A pair gets the first of these that holds. With a null prompt
     or lang, copies and languages can't be told and are not reported. Rows with a null id are left out; repeated rows
     are judged alike and reported once. common_words (lang, word) is a short list, refused above max_words.
     """
@@ -270,12 +271,10 @@ def defects(pairs: DataFrame, common_words: DataFrame, ends: float = 0.5, max_wo
         raise ValueError(f"more than {max_words} common words")
     profiles = {k: frozenset(w for x, w in words if x == k) for k in sorted({x for x, _ in words})}
     rows = pairs.select("id", "prompt", "response", "lang").where("id IS NOT NULL")
-    judged = staged(rows.mapInArrow(_judge(profiles), f"id {dict(pairs.dtypes)['id']}, defect string, tail2 string, tail1 string"), "pairs-judged")
+    judged = staged(rows.mapInArrow(_judge(profiles), f"id {dict(pairs.dtypes)['id']}, defect string, tail string"), "pairs-judged")
     counts = rows.where("response IS NOT NULL").select("response").mapInArrow(_endings, "tail string, n long, n_final long").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
-    open_ = judged.where("tail2 IS NOT NULL")
-    tails = open_.select(F.explode(F.array("tail1", "tail2")).alias("tail")).distinct()
-    known = staged(counts.join(tails, "tail", "left_semi"), "pairs-endings")
-    two, one = (known.select(F.col("tail").alias(f"tail{i}"), F.col("n").alias(f"n{i}"), F.col("n_final").alias(f"f{i}")) for i in (2, 1))
-    share = F.when(F.col("n2") >= 2, F.col("f2") / F.col("n2")).when(F.col("n1") >= 2, F.col("f1") / F.col("n1")).otherwise(0.0)
-    open_ = open_.join(two, "tail2", "left").join(one, "tail1", "left").withColumn("defect", F.when(share < ends, "truncated").when(F.col("defect").isNotNull(), "language"))
-    return judged.where("tail2 IS NULL").select("id", "defect").unionByName(open_.select("id", "defect")).where("defect IS NOT NULL").distinct()
+    open_ = judged.where("tail IS NOT NULL")
+    known = counts.join(open_.select("tail").distinct(), "tail", "left_semi")
+    share = F.coalesce(F.when(F.col("n") >= 2, F.col("n_final") / F.col("n")), F.lit(0.0))
+    open_ = open_.join(known, "tail", "left").withColumn("defect", F.when(share < ends, "truncated").otherwise(F.col("defect")))
+    return judged.where("tail IS NULL").select("id", "defect").unionByName(open_.select("id", "defect")).where("defect IS NOT NULL").distinct()
