@@ -38,7 +38,9 @@ def _is_sentence(line: str, words: list[str], symbols: float, common: set[str])
     if len(words) < 4 or symbols > 0.25:
         return False
     spaced = line.lower().split()  # 'n/a' and 'd'audit' hold no common word
-    share = sum(w in common or w.strip(_EDGES) in common for w in spaced) / len(spaced)
+    share = sum(map(common.__contains__, spaced)) / len(spaced)
+    if share < 0.15:
+        share = sum(w.strip(_EDGES) in common for w in spaced) / len(spaced)
     return share >= 0.15 or (share > 0 or len(words) >= 5) and bool(_VERB_END.search(line))
 
 
@@ -48,7 +50,7 @@ def _damage(line: str) -> float:
     return (3 * len(_BROKEN.findall(line)) + 2 * len(_NOISE.findall(line))) / n
 
 
-def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str]) -> tuple[float, ...]:
+def _shares(text: str, lines: list[str], words: list[list[str]], flat: list[str], common: set[str]) -> tuple[float, ...]:
     """Shares of the characters in sentences, list entries, table rows and junk, the share of lines that are entries or
     rows, and the share of repeated units."""
     sizes = [len(x.strip()) for x in lines]
@@ -102,7 +104,6 @@ def _shares(text: str, lines: list[str], words: list[list[str]], common: set[str
     for k, n in zip(kinds, sizes):
         share[k] += n
     # One fragment over and over, on lines of its own or within a line, is junk whatever it looks like.
-    flat = [w for ws in words for w in ws]
     repeated = sum(n * len(x) for x, n in known.items() if n > 3) / total if len(lines) >= 8 else 0.0
     units = [u.strip() for u in re.split(r"(?<=[.!?…])\s+|\n", text) if u.strip()]
     if len(units) >= 6:
@@ -119,14 +120,15 @@ def text_statistics(text: str, common: set[str]) -> tuple:
     """The values of STATS for one text."""
     lines = [x for x in text.splitlines() if x.strip()]
     words = [_WORD.findall(x.lower()) for x in lines]
-    n_words = sum(map(len, words))
-    letters = sum(len(w) for ws in words for w in ws)
-    solid = sum(len(p) for x in lines for p in x.split()) or 1
-    frequent = sum(w in common for ws in words for w in ws)
-    alpha = sum(not w.isdigit() for ws in words for w in ws)
+    flat = [w for ws in words for w in ws]
+    n_words = len(flat)
+    letters = sum(map(len, flat))
+    solid = sum(map(len, text.split())) or 1
+    frequent = sum(map(common.__contains__, flat))
+    alpha = n_words - sum(map(str.isdigit, flat))
     n = len(lines) or 1
     stripped = [x.rstrip() for x in lines]
-    shares = _shares(text, lines, words, common)
+    shares = _shares(text, lines, words, flat, common)
     return (
         len(text), n_words, letters / n_words if n_words else 0.0, (solid - letters) / solid, alpha / n_words if n_words else 0.0, len(lines),
         sum(x.endswith(_END) for x in stripped) / n, sum(bool(_BULLET.match(x)) for x in lines) / n, sum(x.endswith(("...", "…")) or bool(_LEADER.search(x)) for x in stripped) / n,
