@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Tasks over which the references to one key are spread when they meet their faulty key.
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class Reference:
     """One referring column. at: time of the reference; target: name of the parent table it points into."""
@@ -65,9 +69,9 @@ def orphan_references(refs: list[Reference], targets: list[Target]) -> DataFrame
     """References without a valid target: table_name, field_name, record_id, missing_id, reason, period (distinct rows).
 
     The distinct keys of all references are reduced first (map-side), anti-joined with the parent keys for
-    'missing', and matched with the parents' times otherwise; only keys that can be faulty are joined back, so a
-    key that a third of all rows name costs one row on the parent side and its rows are split by adaptive
-    skew-join handling on the other. 'late': the parent came to exist after the reference; 'deleted': it was
+    'missing', and matched with the parents' times otherwise; only keys that can be faulty are joined back. That side
+    is small, so it goes to SALTS places per key, and the rows of a key that a third of all references name are spread
+    over as many tasks. 'late': the parent came to exist after the reference; 'deleted': it was
     gone by then. With no reference time only 'missing' applies, and period is 'unknown'.
 
     Null or blank keys, null or empty arrays and empty tables give no rows. A null record_id is kept as null.
@@ -78,8 +82,10 @@ def orphan_references(refs: list[Reference], targets: list[Target]) -> DataFrame
     missing = keys.join(parents, ["target", "key"], "left_anti").select("target", "key", F.lit(True).alias("missing"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
     doubtful = keys.join(parents, ["target", "key"]).where("created_at > first_at OR deleted_at <= last_at").select("target", "key", F.lit(False).alias("missing"), "created_at", "deleted_at")
     reason = F.when(F.col("missing"), "missing").when(F.col("created_at") > F.col("at"), "late").when(F.col("deleted_at") <= F.col("at"), "deleted")
+    faulty = missing.unionByName(doubtful).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        rows.join(missing.unionByName(doubtful), ["target", "key"])
+        rows.withColumn("salt", F.pmod(F.xxhash64("record_id", "at"), F.lit(SALTS)).cast("int"))
+        .join(faulty, ["target", "key", "salt"])
         .withColumn("reason", reason)
         .where("reason IS NOT NULL")
         .select("table_name", "field_name", "record_id", F.col("key").alias("missing_id"), "reason", period("at").alias("period"))
