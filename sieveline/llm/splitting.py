@@ -117,6 +117,9 @@ def split_text(x: np.ndarray, limits: list[Limits], p=None) -> Iterator[tuple[Li
                 base = c
                 s = _Slice(x[base : base + max(SLICE, 4 * k.largest)], p if k.largest * 4 <= SLICE else powers(4 * k.largest + 1))
             end, level = _next_cut(s, c - base, k)
+            if not level and n - c <= k.largest:  # an unbroken stretch up to the end takes the room of the overlap
+                yield k, number, max(start, n - k.largest), c, n, -1
+                break
             end += base
             start = max(start, end - k.largest)
             yield k, number, start, c, end, level

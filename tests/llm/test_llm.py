@@ -175,6 +175,25 @@ def test_pieces_keep_limits_and_overlap(spark):
     assert splitting.split(docs.limit(0), cfg).count() == splitting.split(docs, cfg.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("overlap", [0, 10, 50])
+@pytest.mark.parametrize("slice_size", [None, 4000])
+def test_an_unbroken_end_within_the_limit_is_not_cut(monkeypatch, overlap, slice_size):
+    if slice_size:
+        monkeypatch.setattr(splitting, "SLICE", slice_size)
+    k = splitting.Limits.of("A", 100, overlap, 5)
+    for n_before in (1, 40, 2000):
+        before = "word " * n_before
+        for length in (k.largest - k.overlap, k.largest - k.overlap + 1, k.largest - 1, k.largest, k.largest + 1):
+            body = before + "x" * length
+            pieces = [t[1:] for t in splitting.split_text(np.frombuffer(body.encode("utf-32-le"), np.uint32), [k])]
+            assert any(level == 0 for *_, level in pieces) == (length > k.largest), (n_before, length)
+            assert pieces[0][2] == 0 and pieces[-1][3] == len(body) and all(a[3] == b[2] for a, b in zip(pieces, pieces[1:]))
+            assert all(end - start <= k.largest and k.overlap >= core - start >= 0 for _, start, core, end, _ in pieces)
+            if length <= k.largest < len(body):  # the last piece repeats as much as its room allows
+                _, start, core, end, _ = pieces[-1]
+                assert core - start == min(k.overlap, core - pieces[-2][2], k.largest - (end - core))
+
+
 def test_an_edit_changes_only_nearby_pieces():
     body = prose_text(300)
     k = splitting.Limits.of("A", 100, 0, 5)
