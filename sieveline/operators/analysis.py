@@ -55,14 +55,14 @@ def method_matrix(evaluated: DataFrame, methods: tuple[str, ...], reference: str
     return wide.select("measure", *(F.round(m, 4).alias(m) for m in methods), *(F.round(F.col(m) - F.col(reference), 4).alias(f"delta_{m}") for m in methods if m != reference))
 
 
-def contributions(qrels: DataFrame, lists: DataFrame, k: int = 10) -> DataFrame:
+def contributions(qrels: DataFrame, lists: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, chunk_id, source of every required chunk: both, bm25_only, dense_only, hybrid_only or not_found within the
-    first k of the three methods' lists."""
-    top = lists.where(F.col("rank") <= k).select("query_id", clean_key("chunk_id").alias("chunk_id"), "method")
+    first k of the three methods' lists. by: further columns of qrels and lists that keep lists apart."""
+    top = lists.where(F.col("rank") <= k).select(*by, "query_id", clean_key("chunk_id").alias("chunk_id"), "method")
     has = lambda m: F.max(F.when(F.col("method") == m, True).otherwise(False)).alias(m)
-    found = qrels.join(top, ["query_id", "chunk_id"], "left").groupBy("query_id", "chunk_id").agg(has("bm25"), has("dense"), has("hybrid"))
+    found = qrels.join(top, [*by, "query_id", "chunk_id"], "left").groupBy(*by, "query_id", "chunk_id").agg(has("bm25"), has("dense"), has("hybrid"))
     source = F.expr("CASE WHEN bm25 AND dense THEN 'both' WHEN bm25 THEN 'bm25_only' WHEN dense THEN 'dense_only' WHEN hybrid THEN 'hybrid_only' ELSE 'not_found' END")
-    return found.select("query_id", "chunk_id", source.alias("source"))
+    return found.select(*by, "query_id", "chunk_id", source.alias("source"))
 
 
 SOURCES = ("both", "bm25_only", "dense_only", "hybrid_only", "not_found")

@@ -25,6 +25,17 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.join(last, ["method", "run_id"], "left_semi")
 
 
+def run_rounds(runs: DataFrame, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """method, run_id, round of every run (of the methods named): round 1 holds the latest run of each method, round 2 the one
+    before it, and so on (ties by run_id). A method with fewer runs has no list in the later rounds."""
+    rows = runs.where("method IS NOT NULL AND run_id IS NOT NULL")
+    if methods is not None:
+        rows = rows.where(F.col("method").isin(*methods))
+    each = rows.groupBy("method", "run_id").agg(F.max("run_at").alias("at"))
+    place = F.row_number().over(W.partitionBy("method").orderBy(F.desc_nulls_last("at"), F.desc("run_id")))
+    return each.select("method", "run_id", place.cast("long").alias("round"))
+
+
 def top_lists(runs: DataFrame, k: int) -> DataFrame:
     """The first k chunks of each list with their position as rank."""
     w = W.partitionBy("run_id", "query_id").orderBy("key")
@@ -41,24 +52,25 @@ def fuse(lists: DataFrame, rrf_k: int | Column = 60, n: int = 10, by: tuple[str,
     return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*by, "query_id", "chunk_id", F.round("sum", 6).alias("score"), "rank")
 
 
-def sweep(lists: DataFrame, ks: tuple[int, ...] = (10, 30, 60, 100), n: int = 10) -> DataFrame:
+def sweep(lists: DataFrame, ks: tuple[int, ...] = (10, 30, 60, 100), n: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """fuse for several constants at once, from the same lists."""
     each = lists.withColumn("rrf_k", F.explode(F.array(*(F.lit(k) for k in ks))))
-    return fuse(each, F.col("rrf_k"), n, ("rrf_k",))
+    return fuse(each, F.col("rrf_k"), n, (*by, "rrf_k"))
 
 
-def merge_best_score(rows: DataFrame, k: int = 10) -> DataFrame:
-    """Rows of several lists of a query merged: a chunk keeps its largest score (then the smaller rank), ranked again."""
-    best = rows.groupBy("query_id", "chunk_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"))).alias("x"))
-    w = W.partitionBy("query_id").orderBy(F.desc("x.score"), F.desc("x.r"), "chunk_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "x.score", "rank")
+def merge_best_score(rows: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of several lists of a query merged: a chunk keeps its largest score (then the smaller rank), ranked again.
+    by: further columns that keep lists apart."""
+    best = rows.groupBy(*by, "query_id", "chunk_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"))).alias("x"))
+    w = W.partitionBy(*by, "query_id").orderBy(F.desc("x.score"), F.desc("x.r"), "chunk_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "query_id", "chunk_id", "x.score", "rank")
 
 
-def merge_best_rank(rows: DataFrame, k: int = 10) -> DataFrame:
+def merge_best_rank(rows: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """As merge_best_score, but a chunk keeps the row with its lowest rank (then the larger score)."""
-    best = rows.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"))).alias("x"))
-    w = W.partitionBy("query_id").orderBy("x.s", "x.rank", "chunk_id")
-    return best.withColumn("new", F.row_number().over(w)).where(F.col("new") <= k).select("query_id", "chunk_id", (-F.col("x.s")).alias("score"), F.col("new").alias("rank"))
+    best = rows.groupBy(*by, "query_id", "chunk_id").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"))).alias("x"))
+    w = W.partitionBy(*by, "query_id").orderBy("x.s", "x.rank", "chunk_id")
+    return best.withColumn("new", F.row_number().over(w)).where(F.col("new") <= k).select(*by, "query_id", "chunk_id", (-F.col("x.s")).alias("score"), F.col("new").alias("rank"))
 
 
 def assemble(decisions: DataFrame, lists: DataFrame, k: int = 10) -> DataFrame:

@@ -38,19 +38,29 @@ def relevant_ranks(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     return ahead.groupBy("run_id", "method", "query_id", F.col("hit.c").alias("chunk_id")).agg(F.count("*").alias("rank"))
 
 
-def query_metrics(runs: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+def query_metrics(runs: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, rounds: DataFrame | None = None) -> DataFrame:
     """method, query_id, k, n_relevant, n_retrieved_relevant, recall, precision, mrr, ndcg, hit for every required query and
-    every method of runs (one run per method), also where the method returned nothing.
+    every method of runs (one run per method), also where the method returned nothing. With rounds (method, run_id, round;
+    fusion.run_rounds), runs may hold any number of runs per method, and round is a further column.
 
     precision divides by k; mrr looks at the whole list whatever k is; ndcg is binary, with log2(rank + 1).
     """
+    need = qrels.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    if rounds is not None:
+        lists = ("round", "method")
+        base = need.crossJoin(F.broadcast(rounds.select(*lists)))
+        return _measured(base, relevant_ranks(runs, qrels).join(rounds, ["run_id", "method"]), lists, ks)
     methods = [r[0] for r in runs.select("method").where("method IS NOT NULL").distinct().limit(MAX_RUNS + 1).collect()]
     if len(methods) > MAX_RUNS:
         raise ValueError(f"more than {MAX_RUNS} runs")
-    need = qrels.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     base = need.select("query_id", "n_relevant", F.explode(F.array(*(F.lit(m) for m in sorted(methods))) if methods else F.array().cast("array<string>")).alias("method"))
-    ranks = relevant_ranks(runs, qrels).groupBy("method", "query_id").agg(F.collect_list("rank").alias("ranks"))  # at most n_relevant each
-    joined = base.join(ranks, ["method", "query_id"], "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<bigint>")))
+    return _measured(base, relevant_ranks(runs, qrels), ("method",), ks)
+
+
+def _measured(base: DataFrame, ranks: DataFrame, lists: tuple[str, ...], ks: tuple[int, ...]) -> DataFrame:
+    """The measures of every row of base (lists, query_id, n_relevant) from the ranks found."""
+    ranks = ranks.groupBy(*lists, "query_id").agg(F.collect_list("rank").alias("ranks"))  # at most n_relevant each
+    joined = base.join(ranks, [*lists, "query_id"], "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<bigint>")))
     each = joined.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in ks))))
     within = F.filter("ranks", lambda r: r <= F.col("k"))
     gain = lambda r: 1.0 / F.log2(r + 1.0)
@@ -58,7 +68,7 @@ def query_metrics(runs: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", "k").cast("int")), F.lit(0.0), lambda a, r: a + gain(r))
     n = F.size(within).cast("long")
     return each.select(
-        "method", "query_id", "k", "n_relevant", n.alias("n_retrieved_relevant"), F.round(n / F.col("n_relevant"), 6).alias("recall"), F.round(n / F.col("k"), 6).alias("precision"),
+        *lists, "query_id", "k", "n_relevant", n.alias("n_retrieved_relevant"), F.round(n / F.col("n_relevant"), 6).alias("recall"), F.round(n / F.col("k"), 6).alias("precision"),
         F.round(F.coalesce(1.0 / F.array_min("ranks"), F.lit(0.0)), 6).alias("mrr"), F.round(dcg / ideal, 6).alias("ndcg"), F.when(n > 0, 1.0).otherwise(0.0).alias("hit"),
     )
 
@@ -71,16 +81,16 @@ def means(metrics: DataFrame, *by: str) -> DataFrame:
     return metrics.groupBy(*by).agg(F.count("*").alias("n_queries"), *(F.round(F.avg(c), 4).alias(c) for c in MEANS))
 
 
-def means_by_attributes(metrics: DataFrame, queries: DataFrame, attributes: tuple[str, ...] = ("category", "reasoning_type", "difficulty")) -> DataFrame:
-    """means per method, k, and value of each attribute in turn, by grouping sets in one pass; null or '' counts as 'unknown'."""
+def means_by_attributes(metrics: DataFrame, queries: DataFrame, attributes: tuple[str, ...] = ("category", "reasoning_type", "difficulty"), by: tuple[str, ...] = ()) -> DataFrame:
+    """means per method, k, by, and value of each attribute in turn, by grouping sets in one pass; null or '' counts as 'unknown'."""
     q = queries.select("query_id", *(F.coalesce(F.when(F.col(a) != "", F.col(a)), F.lit("unknown")).alias(a) for a in attributes))
     rows = metrics.join(q, "query_id", "left").fillna("unknown", list(attributes))
     stacked = rows.select(*metrics.columns, F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes))).alias("g"))
-    return means(stacked.select("*", "g.attribute", "g.value"), "method", "k", "attribute", "value")
+    return means(stacked.select("*", "g.attribute", "g.value"), *by, "method", "k", "attribute", "value")
 
 
-def means_by_factor(metrics: DataFrame, queries: DataFrame, factors: str = "retrieval_difficulty_factors") -> DataFrame:
-    """means per method, k and difficulty factor; a query counts once in the group of each of its factors, or under 'none'."""
+def means_by_factor(metrics: DataFrame, queries: DataFrame, factors: str = "retrieval_difficulty_factors", by: tuple[str, ...] = ()) -> DataFrame:
+    """means per method, k, by and difficulty factor; a query counts once in the group of each of its factors, or under 'none'."""
     f = F.when(F.size(factors) > 0, F.array_distinct(factors)).otherwise(F.array(F.lit("none")))
     q = queries.select("query_id", F.explode(f).alias("factor"))
-    return means(metrics.join(q, "query_id"), "method", "k", "factor")
+    return means(metrics.join(q, "query_id"), *by, "method", "k", "factor")

@@ -25,10 +25,11 @@ def _four(x: Column) -> Column:
     return F.floor(x * 10_000 + 0.5) / 10_000
 
 
-def relevance(lists: DataFrame) -> DataFrame:
+def relevance(lists: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """lists (method, query_id, chunk_id, score, rank) with rank_proxy, lexical (score over the largest of the query's list),
-    dense (score cut to 0..1) and adaptive (lexical for bm25, dense for dense, the mean of both otherwise), 4 decimals."""
-    w = W.partitionBy("method", "query_id")
+    dense (score cut to 0..1) and adaptive (lexical for bm25, dense for dense, the mean of both otherwise), 4 decimals.
+    by, here and below: further columns that keep lists apart."""
+    w = W.partitionBy(*by, "method", "query_id")
     top = F.max("score").over(w)
     lexical = F.when(top < 1e-9, 0.0).otherwise(_four(F.greatest(F.col("score"), F.lit(0.0)) / top))
     dense = _four(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
@@ -38,16 +39,18 @@ def relevance(lists: DataFrame) -> DataFrame:
     return rows.withColumn("adaptive", adaptive)
 
 
-def verdicts(scored: DataFrame, queries: DataFrame, scorer: str = "adaptive") -> DataFrame:
+def verdicts(scored: DataFrame, queries: DataFrame, scorer: str = "adaptive", by: tuple[str, ...] = ()) -> DataFrame:
     """method, query_id, reasoning_type, n_chunks, n_passed, passed, failure_reason, suggested_strategy for every query and every
     method that scored has. A list passes with NEEDED chunks at or above the threshold of its question type; else the
     first reason that holds is given, with the strategy to try next (null: the same again)."""
     kinds = queries.select("query_id", F.coalesce("reasoning_type", F.lit("unknown")).alias("reasoning_type"))
     methods = sorted(r[0] for r in scored.select("method").distinct().limit(100).collect())
     base = kinds.withColumn("method", F.explode(F.array(*(F.lit(m) for m in methods))))
-    rows = base.join(scored.select("method", "query_id", F.col(scorer).alias("x")), ["method", "query_id"], "left")
+    if by:
+        base = base.crossJoin(F.broadcast(scored.select(*by).distinct()))
+    rows = base.join(scored.select(*by, "method", "query_id", F.col(scorer).alias("x")), [*by, "method", "query_id"], "left")
     count = lambda c: F.count(F.when(c, 1))
-    v = rows.groupBy("method", "query_id", "reasoning_type").agg(F.count("x").alias("n_chunks"), count(F.col("x") >= by_type(THRESHOLDS, DEFAULT)).alias("n_passed"), count(F.col("x") < ZERO).alias("n_zero"))
+    v = rows.groupBy(*by, "method", "query_id", "reasoning_type").agg(F.count("x").alias("n_chunks"), count(F.col("x") >= by_type(THRESHOLDS, DEFAULT)).alias("n_passed"), count(F.col("x") < ZERO).alias("n_zero"))
     v = v.withColumn("passed", F.col("n_passed") >= NEEDED).withColumn("suits", by_type(SUITS, "hybrid"))
     fits, hybrid = F.col("method") == F.col("suits"), F.col("method") == "hybrid"
     all_zero = F.col("n_zero") == F.col("n_chunks")
@@ -67,31 +70,31 @@ def verdicts(scored: DataFrame, queries: DataFrame, scorer: str = "adaptive") ->
         .when((F.col("failure_reason") == "wrong_strategy"), "hybrid")
         .when(F.col("failure_reason").isin("insufficient_coverage", "low_quality") & ~hybrid, "hybrid")
     )
-    return v.select("method", "query_id", "reasoning_type", "n_chunks", "n_passed", "passed", "failure_reason", next_.alias("suggested_strategy"))
+    return v.select(*by, "method", "query_id", "reasoning_type", "n_chunks", "n_passed", "passed", "failure_reason", next_.alias("suggested_strategy"))
 
 
-def retry(start: DataFrame, judged: DataFrame, loops: int = 3) -> DataFrame:
+def retry(start: DataFrame, judged: DataFrame, loops: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, strategy, loop_count, passed, failure_reason after up to `loops` retries: in each pass all queries that still
     fail take the suggested strategy, or keep theirs, and look up its verdict. start: query_id, strategy."""
-    v = judged.select("query_id", F.col("method").alias("strategy"), "passed", "failure_reason", "suggested_strategy")
-    state = start.join(v, ["query_id", "strategy"], "left").withColumn("loop_count", F.lit(0))
+    v = judged.select(*by, "query_id", F.col("method").alias("strategy"), "passed", "failure_reason", "suggested_strategy")
+    state = start.join(v, [*by, "query_id", "strategy"], "left").withColumn("loop_count", F.lit(0))
     for _ in range(loops):
         failing = ~F.coalesce("passed", F.lit(False))
-        moved = state.select("query_id", F.when(failing, F.coalesce("suggested_strategy", "strategy")).otherwise(F.col("strategy")).alias("strategy"), (F.col("loop_count") + failing.cast("int")).alias("loop_count"))
-        state = moved.join(v, ["query_id", "strategy"], "left")
-    return state.select("query_id", "strategy", "loop_count", F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("failure_reason", F.when(F.col("passed"), F.lit(None)).otherwise("no_chunks")).alias("failure_reason"))
+        moved = state.select(*by, "query_id", F.when(failing, F.coalesce("suggested_strategy", "strategy")).otherwise(F.col("strategy")).alias("strategy"), (F.col("loop_count") + failing.cast("int")).alias("loop_count"))
+        state = moved.join(v, [*by, "query_id", "strategy"], "left")
+    return state.select(*by, "query_id", "strategy", "loop_count", F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("failure_reason", F.when(F.col("passed"), F.lit(None)).otherwise("no_chunks")).alias("failure_reason"))
 
 
-def loop_statistics(outcome: DataFrame, kinds: DataFrame) -> DataFrame:
+def loop_statistics(outcome: DataFrame, kinds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per question type: queries, pass rate, mean loops, and the most frequent failure reason (ties by name)."""
     rows = outcome.join(kinds.select("query_id", F.coalesce("reasoning_type", F.lit("unknown")).alias("reasoning_type")), "query_id")
-    sums = rows.groupBy("reasoning_type").agg(F.count("*").alias("n_queries"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"), F.round(F.avg("loop_count"), 3).alias("mean_loops"))
-    reasons = rows.where("NOT passed AND failure_reason IS NOT NULL").groupBy("reasoning_type", "failure_reason").agg(F.count("*").alias("n"))
-    top = reasons.groupBy("reasoning_type").agg(F.min(F.struct((-F.col("n")).alias("n"), "failure_reason")).alias("x")).select("reasoning_type", F.col("x.failure_reason").alias("top_failure_reason"))
-    return sums.join(top, "reasoning_type", "left")
+    sums = rows.groupBy(*by, "reasoning_type").agg(F.count("*").alias("n_queries"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"), F.round(F.avg("loop_count"), 3).alias("mean_loops"))
+    reasons = rows.where("NOT passed AND failure_reason IS NOT NULL").groupBy(*by, "reasoning_type", "failure_reason").agg(F.count("*").alias("n"))
+    top = reasons.groupBy(*by, "reasoning_type").agg(F.min(F.struct((-F.col("n")).alias("n"), "failure_reason")).alias("x")).select(*by, "reasoning_type", F.col("x.failure_reason").alias("top_failure_reason"))
+    return sums.join(top, [*by, "reasoning_type"], "left")
 
 
-def extractive_answers(scored: DataFrame, chunks: DataFrame, scorer: str = "adaptive", n: int = 3, length: int = 200) -> DataFrame:
+def extractive_answers(scored: DataFrame, chunks: DataFrame, scorer: str = "adaptive", n: int = 3, length: int = 200, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, answer, confidence, coverage: the first n chunks of each list quoted as '[i] text', with the mean of their
     scores and their share of the list. scored is one list per query; chunks has one row per chunk_id."""
     rows = scored.join(chunks.select("chunk_id", "text"), "chunk_id", "left")
@@ -99,4 +102,4 @@ def extractive_answers(scored: DataFrame, chunks: DataFrame, scorer: str = "adap
     first = F.when(F.col("rank") <= n, F.struct(F.col("rank").alias("r"), quote.alias("q")))
     answer = F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["q"]), " | ")  # n per query
     used = F.count(F.when(F.col("rank") <= n, 1))
-    return rows.groupBy("query_id").agg(answer.alias("answer"), F.round(F.avg(F.when(F.col("rank") <= n, F.col(scorer))), 4).alias("confidence"), F.round(used / F.count("*"), 4).alias("coverage"))
+    return rows.groupBy(*by, "query_id").agg(answer.alias("answer"), F.round(F.avg(F.when(F.col("rank") <= n, F.col(scorer))), 4).alias("confidence"), F.round(used / F.count("*"), 4).alias("coverage"))

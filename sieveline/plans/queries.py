@@ -46,6 +46,17 @@ def _lists(spark: SparkSession, folder: str, k: int, methods: tuple[str, ...] =
     return fusion.top_lists(_latest(spark, folder).where(F.col("method").isin(*methods)), k)
 
 
+def _rounds(spark: SparkSession, folder: str, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """All runs by rounds; a table of one row per run."""
+    return staged(fusion.run_rounds(table(spark, folder, "retrieval_results"), methods), "rounds")
+
+
+def _all_lists(spark: SparkSession, folder: str, k: int, rounds: DataFrame) -> DataFrame:
+    """The lists of every run in rounds, with round."""
+    runs = table(spark, folder, "retrieval_results").join(F.broadcast(rounds), ["method", "run_id"], "left_semi")
+    return fusion.top_lists(runs, k).join(F.broadcast(rounds), ["method", "run_id"])
+
+
 def _references(spark: SparkSession, folder: str):
     docs, chunks, failures = (table(spark, folder, t) for t in ("enterprise_documents", "chunks", "failure_analysis"))
     fields = [
@@ -385,6 +396,105 @@ def repeated_projects(spark: SparkSession, folder: str) -> DataFrame:
     return sums.where("n_records >= 3")
 
 
+# --- The same over every run, by rounds (fusion.run_rounds); round 1 is what the queries of the latest runs give. -------------
+
+BY = ("round",)
+
+
+def run_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.run_rounds(table(spark, folder, "retrieval_results"))
+
+
+def query_metrics_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    need = metrics.relevant(_queries(spark, folder, "answerable", "required_chunk_ids"))
+    return metrics.query_metrics(table(spark, folder, "retrieval_results"), need, rounds=_rounds(spark, folder))
+
+
+def macro_metrics_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.means(query_metrics_rounds(spark, folder), *BY, "method", "k")
+
+
+def metrics_by_attribute_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.means_by_attributes(query_metrics_rounds(spark, folder), _queries(spark, folder, "category", "reasoning_type", "difficulty"), by=BY)
+
+
+def metrics_by_factor_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.means_by_factor(query_metrics_rounds(spark, folder), _queries(spark, folder, "retrieval_difficulty_factors"), by=BY)
+
+
+def rrf_fusion_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.fuse(_all_lists(spark, folder, 100, _rounds(spark, folder, ("bm25", "dense"))), 10, by=BY)
+
+
+def rrf_sweep_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    rounds = _rounds(spark, folder, ("bm25", "dense"))
+    lists = staged(_all_lists(spark, folder, 100, rounds), "lists")
+    need = metrics.relevant(_queries(spark, folder, "answerable", "required_chunk_ids"))
+    found = fusion.sweep(lists, by=BY).withColumn("chunk_id", refs.clean_key("chunk_id")).join(need, ["query_id", "chunk_id"]).groupBy("round", "rrf_k", "query_id").agg(F.count("*").alias("n"))
+    each = need.groupBy("query_id").agg(F.count("*").alias("m")).withColumn("rrf_k", F.explode(F.array(*(F.lit(k) for k in (10, 30, 60, 100))))).crossJoin(F.broadcast(rounds.select("round").distinct()))
+    recall = each.join(found, ["round", "rrf_k", "query_id"], "left").groupBy("round", "rrf_k").agg(F.round(F.avg(F.coalesce(F.col("n"), F.lit(0)) / F.col("m")), 6).alias("recall"))
+    return recall.withColumn("rrf_k", F.col("rrf_k").cast("long"))
+
+
+def _contributions_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    rounds = _rounds(spark, folder, RUN_METHODS)
+    need = metrics.relevant(_queries(spark, folder, "answerable", "required_chunk_ids")).crossJoin(F.broadcast(rounds.select("round").distinct()))
+    return analysis.contributions(need, _all_lists(spark, folder, 10, rounds), by=BY)
+
+
+def contribution_overall_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.contribution_shares(_contributions_rounds(spark, folder), *BY)
+
+
+def contribution_by_category_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = _queries(spark, folder, "category").select("query_id", analysis.known("category").alias("category"))
+    return analysis.contribution_shares(_contributions_rounds(spark, folder).join(kinds, "query_id"), *BY, "category")
+
+
+def planner_run_assembly_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    decisions = planning.rule_decisions(_queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy"))
+    return fusion.assemble(decisions, _all_lists(spark, folder, 10, _rounds(spark, folder, RUN_METHODS))).select("round", "query_id", "method", "chunk_id", "rank")
+
+
+def _scored_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return validation.relevance(_all_lists(spark, folder, 10, _rounds(spark, folder, RUN_METHODS)), BY)
+
+
+def validation_scores_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored_rounds(spark, folder).drop("run_id")
+
+
+def validation_decisions_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return validation.verdicts(staged(_scored_rounds(spark, folder), "scored"), _queries(spark, folder, "reasoning_type"), by=BY)
+
+
+def loop_outcome_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    judged = staged(validation_decisions_rounds(spark, folder), "verdicts")
+    start = planning.rule_decisions(_queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy")).select("query_id", F.col("selected_strategy").alias("strategy"))
+    return validation.retry(start.crossJoin(F.broadcast(judged.select("round").distinct())), judged, by=BY)
+
+
+def pipeline_stats_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return validation.loop_statistics(loop_outcome_rounds(spark, folder), _queries(spark, folder, "reasoning_type"), BY)
+
+
+def dedup_keep_max_rerank_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.merge_best_score(_all_lists(spark, folder, 20, _rounds(spark, folder, RUN_METHODS)), by=BY)
+
+
+def dedup_keep_best_rank_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.merge_best_rank(_all_lists(spark, folder, 20, _rounds(spark, folder, RUN_METHODS)), by=BY)
+
+
+def extractive_answers_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return validation.extractive_answers(_scored_rounds(spark, folder).where("method = 'hybrid'"), _chunks(spark, folder, "text"), by=BY)
+
+
+def citation_extract_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    answers = extractive_answers_rounds(spark, folder)
+    return answers.select("round", "query_id", F.array_join(T.citations(F.col("answer"), F.lit(3)).cast("array<string>"), ",").alias("cited"))
+
+
 FLAGSHIP = rrf_fusion_top10
 QUERIES = {
     f.__name__: f
@@ -395,5 +505,7 @@ QUERIES = {
         pilot_summary, heuristic_classify, validation_scores, validation_decisions, loop_outcome, pipeline_stats, dedup_keep_max_rerank, dedup_keep_best_rank, extractive_answers, citation_extract,
         slot_fill, plan_json_parse, evidence_spans, document_sections, section_of_offset, asof_chunk_of_section, chunk_statistics, chunk_token_percentiles, chunk_section_aware, chunk_fixed,
         chunk_recursive, dq_violations, dq_duplicates, first_last_event, first_two_documents, references_of_meetings, label_rebalance, oracle_validation, label_counts, table_rows, numbered_sections, repeated_projects, p4_found, p4_counts,
+        run_rounds, query_metrics_rounds, macro_metrics_rounds, metrics_by_attribute_rounds, metrics_by_factor_rounds, rrf_fusion_rounds, rrf_sweep_rounds, contribution_overall_rounds, contribution_by_category_rounds,
+        planner_run_assembly_rounds, validation_scores_rounds, validation_decisions_rounds, loop_outcome_rounds, pipeline_stats_rounds, dedup_keep_max_rerank_rounds, dedup_keep_best_rank_rounds, extractive_answers_rounds, citation_extract_rounds,
     )
 }

@@ -240,3 +240,26 @@ SELECT n.table_name, n.field_name, n.period, reason, n_orphans, n_missing_ids, n
 FROM n JOIN t ON n.table_name = t.table_name AND n.field_name = t.field_name AND n.period = t.period
 """,
 }
+
+# The same over every run: the text of each query once per round, for the runs of that round.
+_LAST = _RUNS.split(",\nrows0", 1)[0]
+
+
+def _each_round(sql: str, methods: tuple[str, ...] | None = None) -> str:
+    assert sql.count(_LAST) == 1
+    some = "" if methods is None else " AND method IN (" + ", ".join(map(_quote, methods)) + ")"
+    turn = f"turn AS (SELECT method, run_id, row_number() OVER (PARTITION BY method ORDER BY max(run_at) DESC NULLS LAST, run_id DESC) AS round FROM retrieval_results WHERE method IS NOT NULL AND run_id IS NOT NULL{some} GROUP BY 1, 2)"
+    inner = sql.replace(_LAST, "last AS (SELECT method, run_id FROM turn WHERE turn.round = every.round)")
+    return f"WITH {turn}, every AS (SELECT DISTINCT round FROM turn) SELECT every.round, x.* FROM every, LATERAL ({inner}) x"
+
+
+SQL["run_rounds"] = "SELECT method, run_id, row_number() OVER (PARTITION BY method ORDER BY max(run_at) DESC NULLS LAST, run_id DESC) AS round FROM retrieval_results WHERE method IS NOT NULL AND run_id IS NOT NULL GROUP BY 1, 2"
+SQL |= {
+    f"{new}_rounds": _each_round(SQL[old], methods)
+    for methods, names in (
+        (None, {"query_metrics": "query_metrics_at_k"} | {n: n for n in ("macro_metrics", "metrics_by_attribute", "metrics_by_factor")}),
+        (("bm25", "dense"), {"rrf_fusion": "rrf_fusion_top10", "rrf_sweep": "rrf_sweep"}),
+        (("bm25", "dense", "hybrid"), {n: n for n in ("contribution_overall", "contribution_by_category", "planner_run_assembly", "validation_scores", "validation_decisions", "loop_outcome", "pipeline_stats", "dedup_keep_max_rerank", "dedup_keep_best_rank", "extractive_answers", "citation_extract")}),
+    )
+    for new, old in names.items()
+}

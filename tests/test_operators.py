@@ -70,6 +70,17 @@ def test_latest_run_and_dirty_lists(spark):
     assert [(r["chunk_id"], r["rank"]) for r in got] == [("a", 1), ("b", 2)]
 
 
+def test_every_run_is_in_one_round_and_evaluated(spark):
+    runs = spark.createDataFrame([(r, m, "Q", c, s, 1, at) for r, m, c, s, at in (("B1", "bm25", "a", 1.0, TS("2024-01-01")), ("B2", "bm25", "b", 1.0, TS("2024-02-01")), ("B3", "bm25", "a", 1.0, None), ("D1", "dense", "a", 1.0, TS("2020-01-01")), ("D2", "dense", "c", 1.0, TS("2020-01-01")))], RUN)
+    rounds = fusion.run_rounds(runs)
+    assert {tuple(r) for r in rounds.collect()} == {("bm25", "B2", 1), ("bm25", "B1", 2), ("bm25", "B3", 3), ("dense", "D2", 1), ("dense", "D1", 2)}
+    assert {r["run_id"] for r in fusion.latest_runs(runs).collect()} == {r["run_id"] for r in rounds.where("round = 1").collect()}
+    found = metrics.query_metrics(runs, spark.createDataFrame([("Q", "A")], "query_id string, chunk_id string"), (1,), rounds)
+    assert {(r["round"], r["method"]): r["hit"] for r in found.collect()} == {(1, "bm25"): 0.0, (2, "bm25"): 1.0, (3, "bm25"): 1.0, (1, "dense"): 0.0, (2, "dense"): 1.0}
+    fused = fusion.fuse(fusion.top_lists(runs, 10).join(rounds, ["method", "run_id"]), 10, by=("round",))
+    assert {(r["round"], r["chunk_id"], r["score"]) for r in fused.collect()} == {(1, "b", round(1 / 11, 6)), (1, "c", round(1 / 11, 6)), (2, "a", round(2 / 11, 6)), (3, "a", round(1 / 11, 6))}
+
+
 @pytest.mark.parametrize(
     "retrieved, relevant, k, recall, precision, mrr, hit",
     [("ABC", "AB", 3, 1.0, 2 / 3, 1.0, 1), ("AXY", "AB", 3, 0.5, 1 / 3, 1.0, 1), ("XAB", "A", 1, 0.0, 0.0, 0.5, 0), ("XYA", "A", 3, 1.0, 1 / 3, 1 / 3, 1)],
