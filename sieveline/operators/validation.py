@@ -44,8 +44,7 @@ def verdicts(scored: DataFrame, queries: DataFrame, scorer: str = "adaptive", by
     method that scored has. A list passes with NEEDED chunks at or above the threshold of its question type; else the
     first reason that holds is given, with the strategy to try next (null: the same again)."""
     kinds = queries.select("query_id", F.coalesce("reasoning_type", F.lit("unknown")).alias("reasoning_type"))
-    methods = sorted(r[0] for r in scored.select("method").distinct().limit(100).collect())
-    base = kinds.withColumn("method", F.explode(F.array(*(F.lit(m) for m in methods))))
+    base = kinds.crossJoin(F.broadcast(scored.select("method").where("method IS NOT NULL").distinct()))
     if by:
         base = base.crossJoin(F.broadcast(scored.select(*by).distinct()))
     rows = base.join(scored.select(*by, "method", "query_id", F.col(scorer).alias("x")), [*by, "method", "query_id"], "left")

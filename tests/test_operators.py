@@ -132,6 +132,12 @@ def test_noise_is_the_md5_number(spark):
     assert spark.range(1).select(planning.noise(F.lit(key))).first()[0] == want
 
 
+def test_every_method_gets_a_verdict(spark):
+    scored = spark.createDataFrame([(f"m{i}", "Q", 1.0) for i in range(150)], "method string, query_id string, adaptive double")
+    got = validation.verdicts(scored, spark.createDataFrame([("Q", None), ("R", "temporal")], "query_id string, reasoning_type string"))
+    assert got.count() == 300 and got.where("failure_reason = 'no_chunks'").count() == 150
+
+
 def test_retry_moves_failing_queries(spark):
     v = spark.createDataFrame([("bm25", "Q", "t", 5, 0, False, "low_quality", "hybrid"), ("hybrid", "Q", "t", 5, 4, True, None, None)], "method string, query_id string, reasoning_type string, n_chunks long, n_passed long, passed boolean, failure_reason string, suggested_strategy string")
     start = spark.createDataFrame([("Q", "bm25"), ("none", "dense")], "query_id string, strategy string")
