@@ -60,7 +60,7 @@ def _shares(text: str, lines: list[str], words: list[list[str]], flat: list[str]
     for x in lines:
         s = x.strip()
         # Rows with empty cells have fewer gaps, so only commas, which sentences have too, must be as many in each row.
-        if s.count("|") >= 2 and s.count(" > ") == 0 and len(s) < 400:
+        if s.count("|") >= 2 and s.count(" > ") == 0:
             cells.append(("|", 0))
         elif "\t" in x.strip(" "):
             cells.append(("\t", 0))
@@ -75,10 +75,12 @@ def _shares(text: str, lines: list[str], words: list[list[str]], flat: list[str]
     same = Counter(c for c in cells if c[0])
     known = Counter(map(str.strip, lines)) if len(lines) >= 8 else {}
     before = ""
+    bullets = [_BULLET.match(x) for x in lines]
+    n_bullets = len(lines) - bullets.count(None)
+    marked = n_bullets >= 3 and n_bullets >= 0.3 * len(lines)  # markers that recur tell entries of any length
     odd = bool(_BROKEN.search(text) or _NOISE.search(text))
-    for x, w, c in zip(lines, words, cells):
+    for x, w, c, bullet in zip(lines, words, cells, bullets):
         n = len(x.strip())
-        bullet = _BULLET.match(x)
         if bullet:  # 'a)' is a label, no word
             x = x[bullet.end() :]
             w = _WORD.findall(x.lower())
@@ -86,16 +88,16 @@ def _shares(text: str, lines: list[str], words: list[list[str]], flat: list[str]
         sentence = _is_sentence(x, w, symbols, common)
         if len(w) > 9 and len(w[1]) == 2 and len(_HEX.findall(x)) > 0.8 * len(w):
             kind = "junk"  # a dump of bytes
-        elif c[0] and same[c] >= 3 and same[c] >= 0.3 * len(lines) and n < 400 and not bullet and not sentence:
+        elif c[0] and same[c] >= 3 and same[c] >= 0.3 * len(lines) and not bullet and not sentence:
             kind = "table"
         elif symbols > 0.4 or odd and _damage(x) > 0.12:
             kind = "junk"
         elif sentence:
             kind = "sentence"
-        elif not bullet and before == "sentence" and len(w) < 4 and len(lines) < 400 and n < 60 and x.rstrip().endswith(_END):
+        elif not bullet and before == "sentence" and len(w) < 4 and n < 60 and x.rstrip().endswith(_END):
             kind = "sentence"  # the end of a wrapped sentence
-        elif n > 200 or len(w) > 14 or not w or max(map(len, x.split())) >= 40:
-            kind = "junk"  # no line of a list: endless, without a word, or one unbroken string
+        elif not (bullet and marked) and (n > 200 or len(w) > 14) or not w or max(map(len, x.split())) >= 40:
+            kind = "junk"  # no line of a list: endless without recurring markers, without a word, or one unbroken string
         else:
             kind = "list"
         kinds.append(kind)

@@ -388,3 +388,17 @@ def test_text_kinds(spark):
     ws = leakage.words_of(TEXTS["prose"])
     assert p["n_words"] == len(ws) and p["mean_word_length"] == pytest.approx(sum(map(len, ws)) / len(ws)) and p["end_punct_ratio"] == 1.0
     assert prose.judged(docs.limit(0), common).count() == 0
+
+
+def test_kinds_do_not_depend_on_size():
+    common = set("the to of it is and that by was has be because".split())
+    names = [c.split()[0] for c in prose.STATS.split(", ")]
+    shares = lambda t: dict(zip(names, prose.text_statistics(t, common)))
+    word = lambda: "".join(rnd.choice("bdklmnrst") + rnd.choice("aeiou") for _ in range(3))
+    wrapped = lambda n: "\n".join(f"It was the {word()} of the {word()} that is to be\n{word()} {word()}." for _ in range(n))
+    assert shares(wrapped(20))["sentence_share"] == shares(wrapped(300))["sentence_share"] == 1.0
+    wide = "\n".join("| " + " | ".join(f"{word()} {i}" for i in range(60)) + " |" for _ in range(10))
+    assert min(map(len, wide.split("\n"))) > 400 and shares(wide)["table_share"] == 1.0
+    entries = "\n".join("- " + " ".join(word() for _ in range(40)) for _ in range(10))
+    assert shares(entries)["list_share"] == 1.0
+    assert shares(entries.replace("- ", ""))["junk_share"] == 1.0 == shares("a. " + " ".join(word() for _ in range(200)))["junk_share"]
