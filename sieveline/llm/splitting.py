@@ -46,8 +46,8 @@ class Limits:
     @classmethod
     def of(cls, config_id: str, max_tokens: int, overlap_tokens: int, min_tokens: int) -> Limits:
         largest = max_tokens * CHARS_PER_TOKEN + CHARS_PER_TOKEN - 1
-        overlap = min(overlap_tokens * CHARS_PER_TOKEN, largest // 2)
-        return cls(config_id, largest, overlap, max(1, min((largest - overlap) // 2, largest - overlap - 1), min(min_tokens * CHARS_PER_TOKEN, (largest - overlap) // 2)))
+        overlap = overlap_tokens * CHARS_PER_TOKEN if overlap_tokens < max_tokens else largest // 2
+        return cls(config_id, largest, overlap, max(1, min(min_tokens * CHARS_PER_TOKEN, largest - overlap)))
 
 
 class _Slice:
@@ -87,7 +87,7 @@ def _next_cut(s: _Slice, c: int, k: Limits) -> tuple[int, int]:
     low, high = c + k.least, c + core
     room = high - low
     h = s.hash[low : high + 1]
-    marks = np.flatnonzero(h < np.uint64(2**64 // max(2, room // 4 + 1)))
+    marks = np.flatnonzero(h < np.uint64(2**64 // max(2, room // 2 + 1)))
     mark = low + int(marks[0] if len(marks) else np.argmin(h))
     for level, at, reach in ((4, s.section, room), (3, s.paragraph, room // 2), (2, s.sentence, room // 3), (1, s.word, room)):
         if (cut := _nearest(at, mark, low, high, reach)) is not None:
@@ -123,7 +123,7 @@ def split_text(x: np.ndarray, limits: list[Limits], p=None) -> Iterator[tuple[Li
             end += base
             start = max(start, end - k.largest)
             yield k, number, start, c, end, level
-            previous, c, number = c, end, number + 1
+            previous, c, number = start, end, number + 1
 
 
 def _headings(text: str) -> list[tuple[int, list[str]]]:
@@ -145,9 +145,11 @@ def split(docs: DataFrame, configs: DataFrame, doc_id: str = "document_id", text
     'section', 'paragraph', 'sentence', 'word', 'forced' or 'end') and oversized (whether the text was above the limit).
 
     configs: config_id, max_tokens, overlap_tokens, min_tokens; a size is floor(code points / 4) tokens. A piece repeats
-    the overlap_tokens before core_start (up to half the limit; less where the piece before is shorter, or where an
-    unbroken stretch needs the room), and cores follow each other without a gap. Pieces are cut inside an unbroken
-    stretch ('forced') only if that stretch alone exceeds the limit. A text within the limit, also an empty one, is one
+    the overlap_tokens before core_start (half the limit where overlap_tokens is max_tokens or more; less where the
+    piece before is shorter, or where an unbroken stretch needs the room), and cores follow each other without a gap.
+    A core has min_tokens or more (but at most what the limit leaves beside the overlap), except the last one and
+    where an unbroken stretch leaves no boundary beyond them. Pieces are cut inside an unbroken stretch ('forced') only
+    if that stretch alone exceeds the limit. A text within the limit, also an empty one, is one
     piece. Null ids or texts, and configurations with a null id or a max_tokens that is null or not positive, give
     nothing; null overlap or minimum counts as 0. Repeated rows give their pieces once; version, a hash of the text,
     tells different texts of one id apart.
