@@ -3,7 +3,8 @@
 A window is a stretch of `length` code points. Its minimiser is the smallest hash of the `grain`-character stretches
 in it. Consecutive windows of a record that share a minimiser form a super-k-mer; it goes, as one packed string, to the
 bucket of its minimiser, where the windows are sorted and counted. Equal windows have equal minimisers, so all copies of
-a window meet in one bucket.
+a window meet in one bucket. A bucket with too many different strings is cut again by a further minimiser, and only what
+hardly any minimiser can part is counted window by window, as text.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import SEEDS, staged
+from ..session import staged
 from .chars import code_points, powers, rolling_hash, segments, sliding_min
 
 #: Windows of one packed string at most, so that strings stay short in texts that repeat one stretch for ever.
 MAX_WINDOWS = 1024
-#: Distinct strings that a bucket may hold to be sorted in one piece; larger buckets are counted window by window.
+#: Distinct strings that a bucket may hold to be sorted in one piece; larger buckets are cut again.
 MAX_STRINGS = 2048
+#: Places per window where windows are counted one by one.
+SALTS = 16
+#: Grains of the further minimisers, and a factor each that puts hashes into another order.
+FURTHER = ((48, 0x9E3779B97F4A7C15), (32, 0xC2B2AE3D27D4EB4F))
+#: Records of one share that meet in one task when pairs are formed; more are spread.
+PAIR_BLOCK = 512
 
 
 @dataclass
@@ -39,8 +46,8 @@ class SharedSpans:
     covered: DataFrame
 
 
-def _super_kmers(length: int, grain: int):
-    """(row of the batch, bucket, at, windows) of all super-k-mers."""
+def _super_kmers(length: int, grain: int, factor: int = 1, kept: tuple[str, ...] = ("record_type", "id", "owner_hash", "version")):
+    """The kept columns and (bucket, at, windows) of all super-k-mers of a column of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = None
@@ -51,7 +58,7 @@ def _super_kmers(length: int, grain: int):
                 x = np.concatenate([codes[a:e] for _, a, e in part])
                 if p is None or len(p[0]) < len(x):
                     p = powers(max(len(x), 1 << 20))
-                least = sliding_min(rolling_hash(x, grain, p), length - grain + 1)
+                least = sliding_min(rolling_hash(x, grain, p) * np.uint64(factor), length - grain + 1)
                 sizes = np.array([e - a for _, a, e in part])
                 ends = np.cumsum(sizes)
                 begins = ends - sizes
@@ -80,8 +87,7 @@ def _super_kmers(length: int, grain: int):
                 count.append(last - first)
             if row:
                 rows = pa.array(np.concatenate(row))
-                kept = [b.column(c).take(rows) for c in ("record_type", "id", "owner_hash", "version")]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.concatenate(v)) for v in (bucket, at, count))], names=["record_type", "id", "owner_hash", "version", "bucket", "at", "windows"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in kept), *(pa.array(np.concatenate(v)) for v in (bucket, at, count))], names=[*kept, "bucket", "at", "windows"])
 
     return run
 
@@ -202,8 +208,9 @@ def find_shared(records: DataFrame, length: int = 200, grain: int = 64, max_stri
 
     First only the minimisers travel: buckets with a single owner are dropped before any text is moved. What is left is
     cut out of the texts and sent to its bucket, copies of one string once. Buckets with up to max_strings different
-    strings are sorted in one piece; larger ones window by window, spread over all tasks and combined before the
-    shuffle, so a stretch that a third of all records holds makes no task large.
+    strings are sorted in one piece; larger ones are cut by the FURTHER minimisers into smaller ones, where copies
+    of a string fall together again. What is too large even then is counted window by window, spread over all tasks and
+    combined before the shuffle. Windows are compared as text everywhere.
     """
     texts = records.select("record_type", "id", "owner", "text").where(F.col("id").isNotNull() & F.col("owner").isNotNull() & (F.length("text") >= length))
     texts = texts.withColumn("owner_hash", F.xxhash64("owner")).withColumn("version", F.xxhash64("text"))
@@ -218,33 +225,63 @@ def find_shared(records: DataFrame, length: int = 200, grain: int = 64, max_stri
     packed = texts.join(wanted, ["record_type", "id", "version"]).mapInArrow(_pack(length), "record_type string, id string, owner string, owner_hash long, version long, bucket long, at long, windows long, packed string")
     packed = staged(packed.withColumn("string", F.xxhash64("packed")), "spans-packed")
 
-    strings = packed.groupBy("bucket", "string", "packed").agg(F.min("owner_hash").alias("low"), F.max("owner_hash").alias("high"))
-    sizes = packed.groupBy("bucket").agg(F.approx_count_distinct("string").alias("n"), F.min("owner_hash").alias("a"), F.max("owner_hash").alias("b")).where("a <> b")
-    strings = staged(strings.join(sizes.select("bucket", "n"), "bucket"), "spans-strings")
+    found = _counted(packed.select("bucket", "string", "packed", F.col("owner_hash").alias("low"), F.col("owner_hash").alias("high")), length, max_strings, FURTHER)
+    links = found.where("share IS NOT NULL").select("bucket", "share", "string")
+    covered = found.where("share IS NULL").select("bucket", "string", "first", "last")
+    members = packed.select("bucket", "string", "record_type", "id", "owner", "version", "at").distinct()
+    return SharedSpans(length, members, links, covered)
+
+
+_FOUND = ("bucket", "string", "share", "first", "last")
 
+
+def _counted(rows: DataFrame, length: int, max_strings: int, further: tuple[tuple[int, int], ...]) -> DataFrame:
+    """The _FOUND of strings (bucket, string, packed, low, high; any number of rows each): a share for each set of strings with a window in common, a null
+    share for each shared stretch of a string."""
+    sizes = rows.groupBy("bucket").agg(F.approx_count_distinct("string").alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b")
+    strings = rows.groupBy("bucket", "string", "packed").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    strings = staged(strings.join(sizes.select("bucket", "n"), "bucket"), "spans-strings")
     whole = strings.where(F.col("n") <= max_strings).select("bucket", "string", "low", "high", "packed").repartition("bucket").sortWithinPartitions("bucket")
     found = staged(whole.mapInArrow(_count_windows(length), "bucket long, string long, share long, first long, last long"), "spans-found")
-    large = _count_apart(strings.where(F.col("n") > max_strings), length)
-    links = found.where("share >= 0").select("bucket", F.col("share").cast("string").alias("share"), "string").unionByName(large.select("bucket", "share", "string"))
-    covered = found.where("share < 0").select("bucket", "string", "first", "last").unionByName(large.select("bucket", "string", "first", F.col("first").alias("last")))
-    members = packed.select("bucket", "string", "record_type", "id", "owner", "version", "at").distinct()
-    return SharedSpans(length, members, links, covered)
+    found = found.withColumn("share", F.when(F.col("share") >= 0, F.col("share").cast("string"))).select(*_FOUND)
+    large = strings.where(F.col("n") > max_strings).drop("n")
+    if large.isEmpty():
+        return found
+    if not further:
+        return found.unionByName(_count_apart(large, length))
+    # The same windows in smaller buckets; what is found there is told of the strings the new ones were cut from.
+    grain, factor = further[0]
+    cut = large.select("bucket", "string", F.col("packed").alias("text"), "low", "high").withColumnsRenamed({"bucket": "from_bucket", "string": "from_string"})
+    cut = cut.mapInArrow(_super_kmers(length, grain, factor, ("from_bucket", "from_string", "low", "high", "text")), "from_bucket long, from_string long, low long, high long, text string, bucket long, at long, windows long")
+    cut = cut.withColumn("packed", F.expr(f"substring(text, at + 1, windows + {length - 1})")).withColumn("bucket", F.xxhash64("from_bucket", "bucket")).withColumn("string", F.xxhash64("packed"))
+    cut = staged(cut.drop("text", "windows"), "spans-cut")
+    inner = _counted(cut.select("bucket", "string", "packed", "low", "high"), length, max_strings, further[1:])
+    back = inner.join(cut.select("bucket", "string", "from_bucket", "from_string", "at"), ["bucket", "string"])
+    share = F.when(F.col("share").isNotNull(), F.concat_ws("/", F.col("bucket").cast("string"), "share"))
+    back = back.select(F.col("from_bucket").alias("bucket"), F.col("from_string").alias("string"), share.alias("share"), (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last"))
+    return found.unionByName(back)
 
 
 def _count_apart(strings: DataFrame, length: int) -> DataFrame:
-    """Shared windows of large buckets: bucket, share, string, first. A window is known by 128 bits of hash."""
-    each = strings.select("bucket", "string", "low", "high", "packed", F.explode(F.sequence(F.lit(0), F.length("packed") - length)).alias("first"))
-    window = F.expr(f"substring(packed, first + 1, {length})")
-    each = each.select("bucket", "string", "low", "high", F.col("first").cast("long").alias("first"), *(F.xxhash64(F.lit(s), window).alias(f"w{i}") for i, s in enumerate(SEEDS)))
-    shared = each.groupBy("bucket", "w0", "w1").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("bucket", "w0", "w1")
-    return each.join(shared, ["bucket", "w0", "w1"]).select("bucket", F.concat_ws(":", F.lit("w"), "w0", "w1").alias("share"), "string", "first")
+    """The _FOUND of strings in buckets that stay large, window by window: each window with its text, spread over SALTS places."""
+    each = strings.select("bucket", "string", "low", "high", F.posexplode(F.expr(f"transform(sequence(1, length(packed) - {length - 1}), i -> substring(packed, i, {length}))")).alias("first", "window"))
+    shared = each.groupBy("bucket", "window").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("bucket", "window", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = each.withColumn("salt", F.pmod(F.xxhash64("string"), F.lit(SALTS)).cast("int")).join(shared, ["bucket", "window", "salt"])
+    first = F.col("first").cast("long")
+    links = hits.select("bucket", "string", F.concat(F.lit("w"), F.sha2("window", 256)).alias("share"), first.alias("first"), first.alias("last"))
+    return links.unionByName(links.withColumn("share", F.lit(None).cast("string")))
 
 
 def shared_pairs(s: SharedSpans) -> DataFrame:
-    """Pairs of records with a common span: record_type, id_a < id_b, of different owners (distinct)."""
+    """Pairs of records with a common span: record_type, id_a < id_b, of different owners (distinct). All pairs of a share are rows
+    of the result, so a share of many records is spread in blocks of PAIR_BLOCK of them, each block against all."""
     groups = s.links.join(s.members, ["bucket", "string"]).select("bucket", "share", "record_type", "id", "owner").distinct()
-    a, b = groups.withColumnsRenamed({"id": "id_a", "owner": "owner_a"}), groups.withColumnsRenamed({"id": "id_b", "owner": "owner_b"})
-    return a.join(b, ["bucket", "share", "record_type"]).where("id_a < id_b AND owner_a <> owner_b").select("record_type", "id_a", "id_b").distinct()
+    groups = staged(groups, "spans-groups")
+    hot = groups.groupBy("bucket", "share").agg((F.count("*") / PAIR_BLOCK).cast("int").alias("more")).where("more > 0")
+    sized = groups.join(hot, ["bucket", "share"], "left").withColumn("blocks", F.coalesce(F.col("more"), F.lit(0)) + 1).drop("more")
+    a = sized.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks").withColumnsRenamed({"id": "id_a", "owner": "owner_a"})
+    b = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumnsRenamed({"id": "id_b", "owner": "owner_b"})
+    return a.join(b, ["bucket", "share", "record_type", "block"]).where("id_a < id_b AND owner_a <> owner_b").select("record_type", "id_a", "id_b").distinct()
 
 
 def shared_stretches(s: SharedSpans) -> DataFrame:
