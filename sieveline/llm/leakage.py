@@ -22,10 +22,13 @@ from ..session import small, staged
 from .chars import BASE
 
 SIZE, SHINGLE = 13, 5
-#: Item shingles that may go to every task (8 bytes each); beyond it all shingles of the corpus are shuffled.
-MAX_SHINGLES = 2_000_000
+#: Size of the largest filter of shingles that goes to every task, in words of 64 bits (16 MB), as a power of two. With more
+#: shingles than it can tell apart, more of the corpus passes it; results stay the same, as a join decides.
+FILTER_POWER = 21
 #: Windows that may be broadcast with their words (about 300 bytes each); beyond it they are joined by shuffle.
 MAX_PREFIXES = 200_000
+#: Places per shingle in that shuffle, so that a passage that a third of all documents hold fills no single task.
+SALTS = 8
 #: Words worked on at once.
 BLOCK = 1 << 19
 
@@ -90,8 +93,30 @@ def _windows(size: int, shingle: int):
     return run
 
 
-def _scan(widths: list[int], wanted: np.ndarray | None, size: int, count: bool):
-    """Shingles of documents among the wanted (all if None). count: (shingle, n) per batch; else each with its place:
+def bloom_filter(shingles: DataFrame, power: int = FILTER_POWER) -> np.ndarray:
+    """A filter that every shingle passes and few others do: words of 64 bits, put together by a grouped bitwise or. At most
+    2 ** power words come to the driver, however many shingles there are."""
+    n = shingles.count()
+    power = min(power, max(6, (2 * n).bit_length() - 1))
+    bit = "shiftleft(1L, cast(shiftrightunsigned(shingle, {}) & 63 AS int))"
+    mask = F.expr(" | ".join(bit.format(6 * i) for i in range(4)))
+    words = shingles.groupBy(F.shiftrightunsigned("shingle", 64 - power).alias("at")).agg(F.bit_or(mask).alias("bits")).toArrow()
+    out = np.zeros(1 << power, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _passes(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which shingles pass a filter."""
+    u, one, low = s.view(np.uint64), np.uint64(1), np.uint64(63)
+    mask = np.zeros(len(u), np.uint64)
+    for i in range(4):
+        mask |= one << ((u >> np.uint64(6 * i)) & low)
+    return bits[u >> np.uint64(65 - len(bits).bit_length())] & mask == mask
+
+
+def _scan(widths: list[int], wanted: np.ndarray, size: int, count: bool):
+    """Shingles of documents that pass the filter. count: (shingle, n) per batch; else each with its place:
     (doc, shingle, width, words before it, words from it on), as far as a window can reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +133,7 @@ def _scan(widths: list[int], wanted: np.ndarray | None, size: int, count: bool):
                 found = []
                 for width in widths:
                     s = shingle_hashes(h, width).view(np.int64)
-                    if wanted is None:
-                        at = np.arange(len(s))
-                    else:
-                        place = np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)
-                        at = np.flatnonzero(wanted[place] == s)
+                    at = np.flatnonzero(_passes(s, wanted))
                     of = np.searchsorted(ends, at, "right")
                     inside = at + width <= ends[of]
                     found.append((at[inside], of[inside], s[at[inside]], np.full(inside.sum(), width)))
@@ -145,15 +166,17 @@ def _blocks(texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
         yield held
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = SIZE, shingle: int = SHINGLE, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = SIZE, shingle: int = SHINGLE, filter_power: int = FILTER_POWER, max_prefixes: int = MAX_PREFIXES) -> DataFrame:
     """doc_id, item_id and leaked_windows (distinct windows of the item found in the document), one row per pair.
 
     Words are maximal runs of letters and digits in lower case, so layout, punctuation and case don't matter. Documents
     and items with a null id, or a text that is null or without words, leak nothing; repeated rows count once. An item
     of fewer than `size` words leaks only as a whole. Texts are read whole. Columns not named are ignored.
 
-    The items' shingles are sent to the tasks if there are at most max_shingles (checked); only shingles that occur in
-    an item leave a task then. With more of them, all shingles of the corpus are shuffled instead.
+    Only shingles that pass a filter of the items' shingles leave a task, the first time with their counts, the second
+    time, through a filter of the windows' rarest shingles alone, with the words around them; joins on the shingle drop
+    what passed by chance. The windows are broadcast if they are at most max_prefixes (checked), else shuffled, with
+    the shingles of documents spread over SALTS places each.
     """
     d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     i = items.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
@@ -162,23 +185,21 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     windows = staged(windows.groupBy("item", "words", "length", "width", "shingle").agg(F.min("first").alias("first"), F.min("offset").alias("offset")), "leak-windows")
     shingles = windows.select("shingle").distinct()
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most `shingle` numbers
-    wanted = None
-    if small(shingles, max_shingles):
-        wanted = np.sort(np.array([r[0] for r in shingles.collect()], np.int64))
     if not widths:
         return d.select(F.col("doc").alias(doc_id), F.lit(None).cast(kind).alias(item_id), F.lit(0).cast("long").alias("leaked_windows")).limit(0)
 
-    counts = d.mapInArrow(_scan(widths, wanted, size, True), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = d.mapInArrow(_scan(widths, bloom_filter(shingles, filter_power), size, True), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rarest = W.partitionBy("item", "words").orderBy("n", "shingle", "offset")
     ranked = windows.join(counts, "shingle", "left").fillna(0, ["n"]).withColumn("place", F.row_number().over(rarest))
     # A window with a shingle that no document has cannot occur: its rarest shingle has n = 0.
     prefix = staged(ranked.where("place = 1 AND n > 0").select("item", "words", "length", "width", "shingle", "offset"), "leak-prefixes")
-    if wanted is not None:
-        wanted = np.sort(np.array([r[0] for r in prefix.select("shingle").distinct().collect()], np.int64))
-        if not len(wanted):
-            wanted = np.array([0], np.int64)
-    hits = d.mapInArrow(_scan(widths, wanted, size, False), f"doc {doc_kind}, shingle long, width long, before string, after string")
-    joined = hits.join(F.broadcast(prefix) if small(prefix, min(MAX_PREFIXES, max_shingles)) else prefix, ["shingle", "width"])
+    rare = bloom_filter(prefix.select("shingle").distinct(), filter_power)
+    hits = d.mapInArrow(_scan(widths, rare, size, False), f"doc {doc_kind}, shingle long, width long, before string, after string")
+    if small(prefix, max_prefixes):
+        joined = hits.join(F.broadcast(prefix), ["shingle", "width"])
+    else:
+        spread = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hits.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread, ["shingle", "width", "salt"])
     before, after = F.when(F.col("before") == "", F.array().cast("array<string>")).otherwise(F.split("before", " ")), F.split("after", " ")
     # The bounds: enough words before and after the shingle for the window to lie there.
     fits = (F.size(before) >= F.col("offset")) & (F.size(after) >= F.col("length") - F.col("offset"))
