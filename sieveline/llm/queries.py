@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..sources.tables import table
 from . import leakage, mixing, pairs, prose, spans, splitting, topn
@@ -54,6 +55,19 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p3_soundness(spark: SparkSession, folder: str) -> DataFrame:
+    """Per configuration: texts, oversized ones, and how many of their pieces break a promise: too long, no core, a core that does
+    not follow the one before or cover the text, a repeat that is too long or begins before the piece it repeats."""
+    limits = table(spark, folder, "chunking_config").select("config_id", "max_tokens", "overlap_tokens")
+    before = W.partitionBy("config_id", "document_id", "version").orderBy("number")
+    p = _pieces(spark, folder).join(F.broadcast(limits), "config_id").withColumn("from", F.coalesce(F.lag("char_end").over(before), F.lit(0))).withColumn("start", F.coalesce(F.lag("char_start").over(before), F.lit(0)))
+    n = lambda c, name: F.count(F.when(F.expr(c), 1)).alias(name)
+    return p.groupBy("config_id").agg(
+        n("number = 0", "n_texts"), n("number = 0 AND oversized", "n_oversized"), n("floor((char_end - char_start) / 4) > max_tokens", "n_too_long"), n("core_start >= char_end AND n_chars > 0", "n_empty"),
+        n("core_start <> from OR (cut = 'end') <> (char_end = n_chars)", "n_gaps"), n("core_start - char_start > 4 * overlap_tokens OR char_start < start", "n_bad_overlap"),
+    )
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "queries").where("query_id IS NOT NULL").groupBy("query_id").agg(F.min(F.struct(F.col("query_text").alias("prompt"), "lang")).alias("q"))
     given = table(spark, folder, "pilot_decisions").select(F.col("decision_id").alias("id"), "query_id", F.col("raw_response").alias("response"))
@@ -67,9 +81,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """How far the recorded flags show the defects."""
+    """How far the recorded flags show the defects; 'not judged' are answers in a language without a refusal grammar."""
     flags = table(spark, folder, "pilot_decisions").groupBy("decision_id").agg(F.min("parse_success").alias("parse_success"), F.max("fallback_used").alias("fallback_used"))
-    found = flags.join(p5_found(spark, folder), "decision_id", "left")
+    told = pairs.assessed(_pairs(spark, folder), table(spark, folder, "common_words")).select(F.col("id").alias("decision_id"), F.coalesce("defect", F.when(~F.col("judged"), "not judged")).alias("defect")).distinct()
+    found = flags.join(told, "decision_id", "left")
     return found.groupBy(F.coalesce("defect", F.lit("none")).alias("defect"), "parse_success", "fallback_used").agg(F.count("*").alias("n_decisions"))
 
 
@@ -111,4 +126,16 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _prose(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p3_found, p3_pieces, p5_found, p5_flags, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics)}
+def p8_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that do not depend on what a line is, rounded."""
+    ratios = ("mean_word_length", "symbol_ratio", "alpha_word_ratio", "end_punct_ratio", "bullet_ratio", "common_ratio")
+    return _prose(spark, folder).select("doc_id", "n_chars", "n_words", "n_lines", *(F.round(c, 6).alias(c) for c in ratios))
+
+
+def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents of each source fail each rule."""
+    rows = _prose(spark, folder).join(table(spark, folder, "documents").select("doc_id", mixing.clean_source("source").alias("source")), "doc_id")
+    return rows.select(F.coalesce("source", F.lit("unknown")).alias("source"), F.explode("failed_rules").alias("rule")).groupBy("source", "rule").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p3_found, p3_pieces, p3_soundness, p5_found, p5_flags, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics, p8_measures, p8_reasons)}

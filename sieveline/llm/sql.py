@@ -31,8 +31,31 @@ WITH r AS (
 ), g AS (SELECT DISTINCT record_type, h, id, owner FROM w JOIN shared USING (record_type, h))
 """
 
+_COVER = _P1.split(", part AS")[0] + """, part AS (
+  SELECT record_type, id, owner, text AS whole, b, substring(text, b + 1, 1199) AS text FROM (SELECT *, unnest(range(0, length(text) - 199, 1000)) AS b FROM r WHERE length(text) >= 200)
+), w AS (
+  SELECT record_type, id, owner, whole, b + a - 1 AS p, hash(substring(text, a, 200))::VARCHAR || hash(reverse(substring(text, a, 200)) || 'x')::VARCHAR AS h FROM (SELECT *, unnest(range(1, length(text) - 198)) AS a FROM part)
+), shared AS (
+  SELECT record_type, h FROM w GROUP BY 1, 2 HAVING min(owner) <> max(owner)
+), place AS (
+  SELECT DISTINCT record_type, id, whole, p FROM w JOIN shared USING (record_type, h)
+), edge AS (
+  SELECT *, CASE WHEN p - lag(p) OVER v <= 200 THEN 0 ELSE 1 END AS new FROM place WINDOW v AS (PARTITION BY record_type, id, whole ORDER BY p)
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY record_type, id, whole ORDER BY p) AS span FROM edge
+), spans AS (
+  SELECT record_type, id, whole, min(p) AS span_start, max(p) + 200 AS span_end FROM numbered GROUP BY record_type, id, whole, span
+)
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT DISTINCT a.record_type, a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.record_type = b.record_type AND a.h = b.h AND a.id < b.id AND a.owner <> b.owner",
+    "p1_spans": _COVER + "SELECT DISTINCT record_type, id, span_start, span_end FROM spans",
+    "p1_shared_chars": _COVER + """, sums AS (SELECT record_type, id, whole, sum(span_end - span_start) AS shared_chars, count(*) AS n_spans, max(span_end - span_start) AS longest_span FROM spans GROUP BY ALL),
+ al AS (SELECT r.record_type, r.id, length(text) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(n_spans, 0) AS n_spans, coalesce(longest_span, 0) AS longest_span
+   FROM r LEFT JOIN sums ON r.record_type = sums.record_type AND r.id = sums.id AND r.text = sums.whole WHERE r.id IS NOT NULL AND r.owner IS NOT NULL AND text IS NOT NULL)
+ SELECT record_type, id, n_chars::BIGINT AS n_chars, shared_chars::BIGINT AS shared_chars, n_spans::BIGINT AS n_spans, longest_span::BIGINT AS longest_span
+ FROM (SELECT *, row_number() OVER (PARTITION BY record_type, id ORDER BY shared_chars DESC, n_chars DESC, n_spans DESC, longest_span DESC) AS best FROM al) WHERE best = 1""",
     "p6_found": _P6 + "SELECT doc_id, item_id FROM found",
     "p6_leaks": _P6 + "SELECT * FROM found",
     "p6_items": _P6 + "SELECT item_id, count(*) AS n_docs, max(leaked_windows) AS most_windows FROM found GROUP BY 1",
@@ -40,6 +63,18 @@ SQL = {
 SELECT DISTINCT config_id, document_id,
   CASE WHEN list_max(list_transform(regexp_split_to_array(body, '\s+'), lambda w: length(w))) // 4 > max_tokens THEN 'forced' ELSE 'boundary' END AS cut_kind
 FROM enterprise_documents, chunking_config WHERE length(body) // 4 > max_tokens""",
+    "p8_measures": r"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')),
+ln AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')) AS x FROM d),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(x, '[.!?…。"”»’)]$')) AS ends, count(*) FILTER (regexp_matches(x, '^(?:[-*•‣◦–+]|\[[ xX]\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])(?:\s|$)')) AS bullets FROM ln GROUP BY 1),
+w AS (SELECT doc_id, length(text) AS n_chars, length(regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS solid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),
+f AS (SELECT list(DISTINCT lower(word)) AS f FROM common_words),
+s AS (SELECT doc_id, n_chars, solid, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS letters, len(list_filter(w, lambda x: regexp_full_match(x, '\p{Nd}+'))) AS digits, len(list_filter(w, lambda x: list_contains(f, x))) AS common FROM w, f)
+SELECT doc_id, n_chars, n AS n_words, n_lines, coalesce(round(letters / nullif(n, 0), 6), 0) AS mean_word_length, round((solid - letters) / solid, 6) AS symbol_ratio, coalesce(round((n - digits) / nullif(n, 0), 6), 0) AS alpha_word_ratio,
+ round(ends / n_lines, 6) AS end_punct_ratio, round(bullets / n_lines, 6) AS bullet_ratio, coalesce(round(common / nullif(n, 0), 6), 0) AS common_ratio FROM s JOIN l USING (doc_id)""",
+    "p3_soundness": """
+SELECT config_id, count(*) AS n_texts, count(*) FILTER (length(body) // 4 > max_tokens) AS n_oversized, 0::BIGINT AS n_too_long, 0::BIGINT AS n_empty, 0::BIGINT AS n_gaps, 0::BIGINT AS n_bad_overlap
+FROM (SELECT DISTINCT document_id, body FROM enterprise_documents WHERE document_id IS NOT NULL AND body IS NOT NULL), chunking_config GROUP BY 1""",
     "p2_found": _P2 + "SELECT run_id, query_id, chunk_id FROM placed WHERE position <= 3",
     "p2_top3": _P2 + "SELECT run_id, query_id, chunk_id, score, rank, method, CAST(position AS INTEGER) AS position FROM placed WHERE position <= 3",
 }

@@ -99,8 +99,10 @@ def span_records():
     return out + out[:5]
 
 
-@pytest.mark.parametrize("max_strings", [2048, 1])
-def test_shared_spans_equal_brute_force(spark, max_strings):
+@pytest.mark.parametrize("max_strings, block", [(2048, 512), (4, 1), (0, 512)])
+def test_shared_spans_equal_brute_force(spark, monkeypatch, max_strings, block):
+    monkeypatch.setattr(spans, "FURTHER", ((15, spans.FURTHER[0][1]), (10, spans.FURTHER[1][1])))
+    monkeypatch.setattr(spans, "PAIR_BLOCK", block)
     rows = span_records()
     df = spark.createDataFrame(rows, "record_type string, id string, owner string, text string").withColumn("bucket", F.lit("clash"))
     s = spans.find_shared(df, 60, 20, max_strings)
@@ -166,7 +168,7 @@ def test_pieces_keep_limits_and_overlap(spark):
         assert rows[0]["core_start"] == rows[0]["char_start"] == 0 and rows[-1]["char_end"] == len(body)
         for a, b in zip(rows, rows[1:]):
             assert b["core_start"] == a["char_end"] > a["core_start"]
-            assert b["char_start"] >= max(a["core_start"], b["core_start"] - k.overlap)
+            assert b["core_start"] - b["char_start"] == min(k.overlap, b["core_start"] - a["char_start"], k.largest - (b["char_end"] - b["core_start"]))
         assert all(r["char_end"] - r["char_start"] <= k.largest for r in rows)
         stretch = max((len(w) for w in body.split()), default=0)
         assert any(r["cut"] == "forced" for r in rows) == (stretch > k.largest), (c, d)
@@ -191,7 +193,21 @@ def test_an_unbroken_end_within_the_limit_is_not_cut(monkeypatch, overlap, slice
             assert all(end - start <= k.largest and k.overlap >= core - start >= 0 for _, start, core, end, _ in pieces)
             if length <= k.largest < len(body):  # the last piece repeats as much as its room allows
                 _, start, core, end, _ = pieces[-1]
-                assert core - start == min(k.overlap, core - pieces[-2][2], k.largest - (end - core))
+                assert core - start == min(k.overlap, core - pieces[-2][1], k.largest - (end - core))
+
+
+def test_the_least_size_is_obeyed():
+    codes = np.frombuffer(prose_text(300).encode("utf-32-le"), np.uint32)
+    sizes = {}
+    for least in (0, 20, 60, 1_000_000):
+        k = splitting.Limits.of("A", 100, 10, least)
+        assert k.least == max(1, min(4 * least, k.largest - k.overlap))
+        cores = [end - core for _, _, _, core, end, level in splitting.split_text(codes, [k]) if level >= 0]
+        sizes[least] = sum(cores) / len(cores)
+        if least < 1000:
+            assert min(cores) >= k.least
+    assert sizes[0] < sizes[20] < sizes[60] < sizes[1_000_000]
+    assert splitting.Limits.of("A", 100, 90, 0).overlap == 360 and splitting.Limits.of("A", 100, 100, 0).overlap == 201
 
 
 def test_an_edit_changes_only_nearby_pieces():
@@ -256,6 +272,67 @@ def test_pairs(spark):
     assert pairs.defects(empty, spark.createDataFrame([], "lang string, word string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, open_",
+    [
+        ('The plan is: {"selected_strategy": "bm25", "reasoning": "Keyword search.', "{j"), ("He said “keyword search finds the code best.", "“"), ("Searches (for example by keyword.", "("),
+        ("```\na b\n``` and then ```\nc d", "fence"), ("<ul><li>one</li>\nKeyword search is best.", "<ul"), ("Steps:\n- one\n- two\n- ", "list"), ("1. one\n2. two\n3.", "list"), ("| a | b |\n| c | d", "row"),
+        ("It is **bold", "**"), ("Use `code", "`"), ("Er sagte „so geht es.", "„"), ("Il dit « oui.", "«"), ('She said "no and left.', '"'), ("An array [1, 2.", "["),
+        ('{"a": "x } \\" y", "b": [1, {"c": "two words"}]} tail', None), ("```json\n{\"a\": \"b\"}\n```\nDone.", None), ("ok {id} and [1] (fine) \"yes\" 5\" pipe :( a) b)", None), ("Er sagte „so“ und »so«, « oui », “no”.", None),
+        ("<p>one<br>two <b>three</b>", None), ("It's `a[0` and **b** and 2 ** 3.", None), ("The answer is\n42.", None), ("| a | b |\n| c | d |", None), ("", None),
+    ],
+)
+def test_structure(text, open_):
+    got = pairs.structure(text)[0]
+    assert got[:1] == ([open_] if open_ else []), got
+
+
+def tiled_brute(answer, prompt, least=2):
+    free = [True] * len(answer)
+    least = min(least, len(prompt))
+    runs = {tuple(prompt[a:b]) for a in range(len(prompt)) for b in range(a + 1, len(prompt) + 1)}
+    for n in range(len(answer), least - 1, -1):
+        for i in range(len(answer) - n + 1):
+            if all(free[i : i + n]) and tuple(answer[i : i + n]) in runs:
+                free[i : i + n] = [False] * n
+    return 1 - sum(free) / len(answer)
+
+
+def test_tiling_equals_brute_force_and_is_fast():
+    import time
+
+    for _ in range(200):
+        a, p = ([rnd.choice("abcd") for _ in range(rnd.randrange(1, 25))] for _ in range(2))
+        assert pairs.tiled(a, p)[0] == pytest.approx(tiled_brute(a, p))
+    p = [rnd.choice("abcdefgh") for _ in range(20_000)]
+    began = time.time()
+    assert pairs.tiled(p + p, p) == (1.0, 1.0)
+    assert time.time() - began < 5
+
+
+LONG = " It is about the travel desk and the rules that hold for Verona, which are written down in the file of the team." * 5
+
+
+@pytest.mark.parametrize(
+    "text, refused",
+    [
+        ("I'm sorry, but I can't help with this request." + LONG, True), ("I'm sorry. Thank you for asking. The topic is restricted. I cannot answer it." + LONG, True), (LONG + " I can't help with more.", False),
+        ("Mi dispiace, non posso rispondere a questa domanda.", True), ("К сожалению, я не могу ответить на этот вопрос.", True), ("Desculpe, não posso responder a esta pergunta.", True), ("Helaas kan ik deze vraag niet beantwoorden.", True),
+        ("The user can decline a waiver. The team will help with the rest.", False),
+    ],
+)
+def test_refusals_of_any_length_and_language(text, refused):
+    assert pairs.refuses(text) == refused
+
+
+def test_answers_without_a_stop_in_a_small_corpus(spark):
+    rows = [("whole", "The travel policy covers hotels in Verona"), ("function word", "The travel policy covers hotels in the"), ("others have stops", "The policy is old. It covers hotels in Ver"), ("longer word known", "All of it covers hot"), ("tail", "- one\n- two\n-")]
+    df = spark.createDataFrame([(i, "What is covered by it?", r, "en") for i, r in rows] + [("polish", "Co to jest?", "Wszystko dobrze działa.", "pl")], "id string, prompt string, response string, lang string")
+    got = {r["id"]: (r["defect"], r["judged"]) for r in pairs.assessed(df, spark.createDataFrame(COMMON, "lang string, word string")).collect()}
+    assert {k for k, v in got.items() if v[0] == "truncated"} == {"function word", "others have stops", "longer word known", "tail"}
+    assert got["whole"] == (None, True) and got["polish"] == (None, False)
+
+
 def test_pushdown_parser_and_tiling():
     assert pairs.parse('{"a": "x } \\" y", "b": [1, {"c": "two words"}]} tail')[:2] == (True, True)
     assert not pairs.parse('{"a": [1, 2}')[0] and not pairs.parse('{"a": "x')[0]
@@ -278,8 +355,8 @@ def leak_brute(docs, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_leaks_equal_brute_force(spark, most):
+@pytest.mark.parametrize("power, most", [(21, 10**6), (6, 0)])
+def test_leaks_equal_brute_force(spark, power, most):
     vocabulary = [f"w{i}" for i in range(40)] + ["Straße", "한국"]
     say = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
     items = [(i, " ".join(say(rnd.choice([1, 3, 5, 9, 13, 20, 40])))) for i in range(25)] + [(90, ""), (91, None), (92, "—!"), (None, "w1 w2"), (3, "w1")]
@@ -293,10 +370,18 @@ def test_leaks_equal_brute_force(spark, most):
         docs.append((d, rnd.choice([" ", " | ", "_\n* "]).join(p.upper() if d % 3 == 0 else p for p in parts)))
     docs += [(200, None), (201, ""), (202, " ... "), (None, "w1 w2 w3"), docs[1]]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("shingle", F.lit(1))
-    got = leakage.leaks(d, spark.createDataFrame(items, "item_id long, text string"), max_shingles=most)
+    got = leakage.leaks(d, spark.createDataFrame(items, "item_id long, text string"), filter_power=power, max_prefixes=most)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == leak_brute(docs, items)
 
 
+def test_every_shingle_passes_its_filter(spark):
+    held = [rnd.getrandbits(64) - 2**63 for _ in range(500)]
+    bits = leakage.bloom_filter(spark.createDataFrame([(x,) for x in held], "shingle long"))
+    assert leakage._passes(np.array(held, np.int64), bits).all()
+    assert leakage._passes(np.array([rnd.getrandbits(64) - 2**63 for _ in range(10_000)], np.int64), bits).mean() < 0.05
+    assert len(leakage.bloom_filter(spark.createDataFrame([(x,) for x in held], "shingle long"), 6)) == 64
+
+
 def test_leaks_of_nothing(spark):
     d, i = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert leakage.leaks(d.limit(0), i).count() == leakage.leaks(d, i.limit(0)).count() == 0
@@ -390,15 +475,37 @@ def test_text_kinds(spark):
     assert prose.judged(docs.limit(0), common).count() == 0
 
 
+def kinds_of(texts):
+    common = pa.array("the to of it is and that by was has be because".split())
+    got = prose.text_statistics(pa.array(texts), common)
+    return [max(("sentence", "list", "table", "junk"), key=lambda k: got[f"{k}_share"][i]) for i in range(len(texts))], got
+
+
 def test_kinds_do_not_depend_on_size():
-    common = set("the to of it is and that by was has be because".split())
-    names = [c.split()[0] for c in prose.STATS.split(", ")]
-    shares = lambda t: dict(zip(names, prose.text_statistics(t, common)))
     word = lambda: "".join(rnd.choice("bdklmnrst") + rnd.choice("aeiou") for _ in range(3))
     wrapped = lambda n: "\n".join(f"It was the {word()} of the {word()} that is to be\n{word()} {word()}." for _ in range(n))
-    assert shares(wrapped(20))["sentence_share"] == shares(wrapped(300))["sentence_share"] == 1.0
     wide = "\n".join("| " + " | ".join(f"{word()} {i}" for i in range(60)) + " |" for _ in range(10))
-    assert min(map(len, wide.split("\n"))) > 400 and shares(wide)["table_share"] == 1.0
     entries = "\n".join("- " + " ".join(word() for _ in range(40)) for _ in range(10))
-    assert shares(entries)["list_share"] == 1.0
-    assert shares(entries.replace("- ", ""))["junk_share"] == 1.0 == shares("a. " + " ".join(word() for _ in range(200)))["junk_share"]
+    kinds, got = kinds_of([wrapped(20), wrapped(300), wide, entries, entries.replace("- ", ""), "a. " + " ".join(word() for _ in range(200))])
+    assert kinds == ["sentence", "sentence", "table", "list", "junk", "junk"]
+    assert all(got[f"{k}_share"][i] == 1.0 for i, k in enumerate(kinds)) and min(map(len, wide.split("\n"))) > 400
+
+
+def test_sentences_of_any_language_and_legal_signs():
+    kinds, _ = kinds_of([
+        "\n".join(f"Das regelt § {n} BGB und § {n + 1} HGB in dem Vertrag der Firma." for n in range(430, 440)),
+        "Il fornitore consegna i materiali ogni lunedì mattina. Nessuno controlla le bolle prima di mezzogiorno. Domani arrivano altri tecnici dalla sede centrale.",
+        "Поставщик привозит материалы каждое утро. Никто не проверяет накладные до обеда. Завтра приедут другие техники из главного офиса.",
+        "Поставщик привозит материалы каждое\nутро понедельника. Никто не проверяет все\nнакладные до обеда. Завтра приедут другие\nтехники из главного офиса.",
+        "供应商每天早上送来材料。中午之前没有人检查送货单。明天总部会派其他技术人员过来。",
+        "lgf ghdgdk jsj fjklsgs gjhsdjl. Dhjalfj kakgjkf gadf jlfjl gljljdl. Hslgf fjs fgh gkl jhg dfgh.",
+    ])
+    assert kinds == ["sentence"] * 5 + ["junk"]
+
+
+def test_a_column_gives_what_its_texts_give_alone():
+    common = pa.array("the to of it is and that by was has be because".split())
+    together = prose.text_statistics(pa.array(list(TEXTS.values())), common)
+    for i, t in enumerate(TEXTS.values()):
+        alone = prose.text_statistics(pa.array([t]), common)
+        assert {k: v[0] for k, v in alone.items()} == {k: v[i] for k, v in together.items()}
