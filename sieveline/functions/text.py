@@ -119,3 +119,8 @@ def is_chunk_id(c: Column) -> Column:
 def parent_id(chunk_id: Column) -> Column:
     """The document part of a chunk id: what stands before its last '-C'."""
     return F.regexp_extract(chunk_id, r"^(.*)-C", 1)
+
+
+def plain_name(c: Column) -> Column:
+    """A name of a fixed set, however it is spelt: trimmed, in lower case, hyphens and blanks as '_'."""
+    return F.translate(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), "- ", "__")

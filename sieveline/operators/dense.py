@@ -1,17 +1,20 @@
-"""Exact dense retrieval: inner products in blocks, local top k in each task, ranked by a window."""
+"""Exact dense retrieval: blocks of queries meet cells of vectors in tasks, which keep their local top k; a window ranks them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Query vectors that one block may hold; it goes to every task, so its size is fixed.
-BLOCK = 4096
+#: Query vectors of one block and vectors of one cell; a task holds one of each.
+BLOCK, CELL = 8192, 32_768
+#: Queries multiplied at once.
+STRIPE = 256
 
 
 def unit(vector: str) -> Column:
@@ -21,45 +24,48 @@ def unit(vector: str) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def _block_top(ids: np.ndarray, matrix: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column("id").to_numpy()
-            flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            for part in range(0, len(ids), 512):
-                q, m = ids[part : part + 512], matrix[part : part + 512]
-                score = np.round(m @ flat.T, 6)
+def _matrix(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of the rows with vectors of that dimension."""
+    t = t.filter(pc.equal(pc.list_value_length(t["v"]), dim))
+    return t["id"].to_numpy(), pc.list_flatten(t["v"]).to_numpy().reshape(t.num_rows, dim)
+
+
+def _local_top(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(cell: pa.Table, block: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        for dim in pc.unique(pc.list_value_length(block["v"])).to_pylist():
+            own, vectors = _matrix(cell, dim)
+            ids, asked = _matrix(block, dim)
+            keep = min(k, len(own))
+            for a in range(0, len(ids) if keep else 0, STRIPE):
+                q = ids[a : a + STRIPE]
+                score = np.round(asked[a : a + STRIPE] @ vectors.T, 6)
                 score[q[:, None] == own[None, :]] = -np.inf  # a row does not find itself
-                keep = min(k, len(own))
                 # All rows that reach the k-th best score, so ties are left to the ranking.
                 bound = np.partition(score, -keep, axis=1)[:, -keep]
                 at_q, at_c = np.nonzero((score >= bound[:, None]) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(q[at_q]), pa.array(own[at_c]), pa.array(score[at_q, at_c])], names=["query_id", "chunk_id", "score"])
+                for out, x in zip(found, (q[at_q], own[at_c], score[at_q, at_c])):
+                    out.append(x)
+        return pa.table([pa.array(np.concatenate(x)) for x in found], names=["query_id", "chunk_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """query_id, chunk_id, score, rank: the k rows of vectors (id, v) with the largest inner product for each row of
-    queries (id, v), ties by id; a row does not find itself. ids are longs, v arrays of one dimension; rows with a null
-    in either, or of another dimension than the queries, are left out.
+    queries (id, v), ties by id; a row does not find itself. ids are longs, v arrays of doubles; rows with a null in
+    either are left out, and vectors meet queries of their own dimension only.
 
-    Queries are handled in blocks of a fixed number of vectors, each against all rows.
+    Vectors are read once and dealt into cells, queries into blocks, both by a hash of the id and of bounded size; each pair
+    of a cell and a block is the work of one task. No vector comes to the driver.
     """
     clean = "id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)"
-    asked = queries.where(clean).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for i in range(blocks):
-        # At most about `block` vectors come to the driver at a time, to be sent out again.
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").collect()
-        dim = len(rows[0]["v"]) if rows else 0
-        rows = [r for r in rows if len(r["v"]) == dim]
-        own = vectors.where(clean).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(F.size("v") == dim)
-        found = own.mapInArrow(_block_top(np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float).reshape(len(rows), dim), k), "query_id long, chunk_id long, score double")
-        out = found if out is None else out.unionByName(found)
+    of = lambda df: df.where(clean).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    blocks, cells = max(1, -(-queries.select("id").count() // block)), max(1, -(-vectors.select("id").count() // cell))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = of(vectors).withColumn("cell", place(cells)).withColumn("block", every(blocks))
+    asked = of(queries).withColumn("block", place(blocks)).withColumn("cell", every(cells))
+    found = held.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(_local_top(k), "query_id long, chunk_id long, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

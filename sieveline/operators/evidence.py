@@ -26,13 +26,14 @@ def locate_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return quotes.join(one, "document_id", "left").select("chunk_id", "document_id", at.alias("found_at"))
 
 
-def containing(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """points (document_id, point_id, at) with the first interval (document_id, no, start, end) of the document that holds
+def containing(points: DataFrame, intervals: DataFrame, last: bool = False) -> DataFrame:
+    """points (document_id, point_id, at) with the first (or the last) interval (document_id, no, start, end) of the document that holds
     `at`, start <= at < end; points in none are kept with nulls. An equi-join on the document, bounded by the intervals of
     one document."""
     p, i = points.alias("p"), intervals.alias("i")
     hit = (F.col("p.document_id") == F.col("i.document_id")) & (F.col("i.start") <= F.col("p.at")) & (F.col("p.at") < F.col("i.end"))
-    return p.join(i, hit, "left").groupBy("p.document_id", "p.point_id", "p.at").agg(F.min(F.struct("i.no", "i.start", "i.end")).alias("x")).select("document_id", "point_id", "at", "x.no")
+    pick = F.max if last else F.min
+    return p.join(i, hit, "left").groupBy("p.document_id", "p.point_id", "p.at").agg(pick(F.struct("i.no", "i.start", "i.end")).alias("x")).select("document_id", "point_id", "at", "x.no")
 
 
 def as_of(points: DataFrame, marks: DataFrame) -> DataFrame:
@@ -55,3 +56,16 @@ def first_rows(rows: DataFrame, key: str, order: list[str], n: int = 2) -> DataF
     """The first n rows of each key."""
     w = W.partitionBy(key).orderBy(*order)
     return rows.where(F.col(key).isNotNull()).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def first_pairs(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """key, first, second: the first two rows of each key side by side; keys with one row have no pair."""
+    two = first_rows(rows, key, order, 2).groupBy(key).agg(F.max(F.when(F.col("place") == 1, F.col(value))).alias("first"), F.max(F.when(F.col("place") == 2, F.col(value))).alias("second"))
+    return two.where("second IS NOT NULL")
+
+
+def replacements(docs: DataFrame, old: str, new: str, by: tuple[str, ...]) -> DataFrame:
+    """document_id, replacement: for each row of status old the first (by document_id) live row of status new with the same values
+    of by; null if there is none. Null values of by match nothing."""
+    fresh = docs.where((F.col("status") == new) & F.col("deleted_at").isNull()).groupBy(*by).agg(F.min("document_id").alias("replacement"))
+    return docs.where(F.col("status") == old).select("document_id", *by).join(fresh, list(by), "left").select("document_id", "replacement")

@@ -11,6 +11,8 @@ from .references import clean_key
 KS = (1, 3, 5, 10)
 #: Lists (run_id) that one evaluation may cover: each is set against all queries.
 MAX_RUNS = 1000
+#: Places over which the rows of one list are spread when ranks are counted.
+SALTS = 16
 
 
 def one_per_key(df: DataFrame, key: str, *columns: str, order: str = "ingested_at") -> DataFrame:
@@ -23,18 +25,20 @@ def one_per_key(df: DataFrame, key: str, *columns: str, order: str = "ingested_a
 
 
 def relevant(queries: DataFrame, answerable_only: bool = True) -> DataFrame:
-    """query_id, chunk_id: the required chunks of each query, ids in one spelling; queries without any are skipped."""
-    q = queries.where("answerable") if answerable_only else queries
+    """query_id, chunk_id: the required chunks of each query, ids in one spelling; queries without any are skipped. A query that
+    does not say whether it can be answered counts as one that can."""
+    q = queries.where("coalesce(answerable, true)") if answerable_only else queries
     return q.select("query_id", F.explode("required_chunk_ids").alias("c")).select("query_id", clean_key("c").alias("chunk_id")).where("chunk_id IS NOT NULL").distinct()
 
 
 def relevant_ranks(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     """run_id, method, query_id, chunk_id, rank of every required chunk that a list has. The rank is counted from the rows that
-    precede it, so a list of any length is never gathered in one task."""
+    precede it: rows are spread over SALTS places by their chunk, each of which knows all hits of the list, so a list of
+    any length is never gathered in one task."""
     rows = once_per_chunk(runs)
     hits = rows.withColumn("id", clean_key("chunk_id")).join(qrels.select("query_id", F.col("chunk_id").alias("id")), ["query_id", "id"], "left_semi")
-    hits = hits.select("run_id", "query_id", F.col("key").alias("hit"))
-    ahead = rows.join(hits, ["run_id", "query_id"]).where(F.col("key") <= F.col("hit"))
+    hits = hits.select("run_id", "query_id", F.col("key").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ahead = rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(hits, ["run_id", "query_id", "salt"]).where(F.col("key") <= F.col("hit"))
     return ahead.groupBy("run_id", "method", "query_id", F.col("hit.c").alias("chunk_id")).agg(F.count("*").alias("rank"))
 
 

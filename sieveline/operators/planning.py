@@ -43,6 +43,15 @@ def rule_decisions(queries: DataFrame) -> DataFrame:
     return d.select("query_id", "selected_strategy", "matched_rules", "planner_confidence", "oracle_strategy_mapped", (F.col("selected_strategy") == F.col("oracle_strategy_mapped")).alias("is_correct"))
 
 
+#: Question types for which recorded oracles are known to disagree with what the runs show.
+DISPUTED = ("temporal",)
+
+
+def discrepancy(kind: str = "reasoning_type", source: str = "oracle_strategy_source") -> Column:
+    """Whether an oracle is in dispute: a DISPUTED type whose oracle does not come from the runs themselves."""
+    return F.coalesce(F.col(kind).isin(*DISPUTED), F.lit(False)) & (F.coalesce(source, F.lit("")) != "empirical_validation")
+
+
 def confusion(decisions: DataFrame) -> DataFrame:
     """Per strategy of STRATEGIES: tp, fp, fn, support, predicted, precision, recall and f1 (0 where undefined)."""
     each = F.array(F.struct(F.col("selected_strategy").alias("strategy"), F.lit("p").alias("side")), F.struct(F.col("oracle_strategy_mapped").alias("strategy"), F.lit("o").alias("side")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dense, fusion, sparse
@@ -11,20 +11,19 @@ from . import dense, fusion, sparse
 TOP, MOST, CANDIDATES = 10, 50, 100
 
 
-def search(strategy: str, chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, text: Column | None = None, k: int = TOP, rrf_k: int = 10) -> DataFrame:
+def search(strategy: str, index: sparse.Index | None, queries: DataFrame | None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = TOP, rrf_k: int = 10) -> DataFrame:
     """query_id, chunk_id, score, rank by 'bm25', 'dense', or both fused (any other strategy). k is at most MOST.
 
-    chunks: chunk_id and text; queries: query_id, query_text; vectors and query_vectors: id, v, where ids are longs and equal
+    index: of chunks, built or loaded; queries: query_id, query_text; vectors and query_vectors: id, v, where ids are longs and equal
     the ids of chunks and queries as strings."""
     k = min(k, MOST)
-    text = F.col("text") if text is None else text
     each = k if strategy in ("bm25", "dense") else CANDIDATES
     if strategy == "bm25":
-        return sparse.bm25(chunks, queries, text, each)
+        return sparse.bm25(index, queries, each)
     near = dense.nearest(vectors, query_vectors, each).select(F.col("query_id").cast("string").alias("query_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "score", "rank")
     if strategy == "dense":
         return near
-    lexical = sparse.bm25(chunks, queries, text, each)
+    lexical = sparse.bm25(index, queries, each)
     as_text = lexical.select(F.col("query_id").cast("string").alias("query_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "score", "rank")
     return fusion.fuse(as_text.unionByName(near), rrf_k, k)
 

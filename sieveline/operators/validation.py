@@ -42,14 +42,16 @@ def relevance(lists: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def verdicts(scored: DataFrame, queries: DataFrame, scorer: str = "adaptive", by: tuple[str, ...] = ()) -> DataFrame:
     """method, query_id, reasoning_type, n_chunks, n_passed, passed, failure_reason, suggested_strategy for every query and every
     method that scored has. A list passes with NEEDED chunks at or above the threshold of its question type; else the
-    first reason that holds is given, with the strategy to try next (null: the same again)."""
-    kinds = queries.select("query_id", F.coalesce("reasoning_type", F.lit("unknown")).alias("reasoning_type"))
+    first reason that holds is given, with the strategy to try next (null: the same again). If queries have a query_text, one
+    of several hops that still has a slot in it misses an entity."""
+    slot = F.coalesce((F.col("reasoning_type") == "multi_hop") & F.col("query_text").rlike(r"\{\w+\}"), F.lit(False)) if "query_text" in queries.columns else F.lit(False)
+    kinds = queries.select("query_id", slot.alias("open_slot"), F.coalesce("reasoning_type", F.lit("unknown")).alias("reasoning_type"))
     base = kinds.crossJoin(F.broadcast(scored.select("method").where("method IS NOT NULL").distinct()))
     if by:
         base = base.crossJoin(F.broadcast(scored.select(*by).distinct()))
     rows = base.join(scored.select(*by, "method", "query_id", F.col(scorer).alias("x")), [*by, "method", "query_id"], "left")
     count = lambda c: F.count(F.when(c, 1))
-    v = rows.groupBy(*by, "method", "query_id", "reasoning_type").agg(F.count("x").alias("n_chunks"), count(F.col("x") >= by_type(THRESHOLDS, DEFAULT)).alias("n_passed"), count(F.col("x") < ZERO).alias("n_zero"))
+    v = rows.groupBy(*by, "method", "query_id", "reasoning_type", "open_slot").agg(F.count("x").alias("n_chunks"), count(F.col("x") >= by_type(THRESHOLDS, DEFAULT)).alias("n_passed"), count(F.col("x") < ZERO).alias("n_zero"))
     v = v.withColumn("passed", F.col("n_passed") >= NEEDED).withColumn("suits", by_type(SUITS, "hybrid"))
     fits, hybrid = F.col("method") == F.col("suits"), F.col("method") == "hybrid"
     all_zero = F.col("n_zero") == F.col("n_chunks")
@@ -58,6 +60,7 @@ def verdicts(scored: DataFrame, queries: DataFrame, scorer: str = "adaptive", by
         .when(F.col("n_chunks") == 0, "no_chunks")
         .when(all_zero & fits & hybrid, "too_narrow")
         .when(all_zero, "wrong_strategy")
+        .when(F.col("open_slot"), "missing_entity")
         .when(~fits & (F.col("n_zero") > MOSTLY * F.col("n_chunks")), "wrong_strategy")
         .when(F.col("n_passed") > 0, "insufficient_coverage")
         .otherwise("low_quality")
@@ -67,6 +70,7 @@ def verdicts(scored: DataFrame, queries: DataFrame, scorer: str = "adaptive", by
         F.when(F.col("failure_reason") == "no_chunks", "hybrid")
         .when((F.col("failure_reason") == "wrong_strategy") & ~fits, F.col("suits"))
         .when((F.col("failure_reason") == "wrong_strategy"), "hybrid")
+        .when(F.col("failure_reason") == "missing_entity", F.col("method"))
         .when(F.col("failure_reason").isin("insufficient_coverage", "low_quality") & ~hybrid, "hybrid")
     )
     return v.select(*by, "method", "query_id", "reasoning_type", "n_chunks", "n_passed", "passed", "failure_reason", next_.alias("suggested_strategy"))
@@ -93,6 +97,42 @@ def loop_statistics(outcome: DataFrame, kinds: DataFrame, by: tuple[str, ...] =
     return sums.join(top, [*by, "reasoning_type"], "left")
 
 
+def loop_histogram(outcome: DataFrame, *by: str) -> DataFrame:
+    """by, loop_count, n_queries, n_passed."""
+    return outcome.groupBy(*by, F.col("loop_count").cast("long").alias("loop_count")).agg(F.count("*").alias("n_queries"), F.count(F.when(F.col("passed"), 1)).alias("n_passed"))
+
+
+#: Experiments by name: whether question types are given (else told from the wording), the scorer, and the retries.
+EXPERIMENTS = (("v2_oracle", True, "adaptive", 3), ("v2_oracle_noloop", True, "adaptive", 0), ("v2_oracle_rankproxy", True, "rank_proxy", 3), ("v2_heuristic", False, "adaptive", 3))
+#: Ways to score a chunk; a column of relevance each, more by with_scorer.
+SCORERS = ("rank_proxy", "lexical", "dense", "adaptive")
+
+
+def with_scorer(scored: DataFrame, name: str, score: Column) -> DataFrame:
+    """scored with a scorer of one's own, cut to 0..1 with 4 decimals; where it is null the rank proxy stands in."""
+    return scored.withColumn(name, F.when(score.isNull(), F.col("rank_proxy")).otherwise(_four(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))))
+
+
+def rescored(scored: DataFrame, pair_scores: DataFrame, top_scores: DataFrame) -> DataFrame:
+    """scored with lexical as the chunk's own BM25 score (query_id, chunk_id, bm25) over the largest that any chunk of the corpus has
+    for the query (query_id, top), so that fused lists are judged by a text score; adaptive follows."""
+    own = scored.drop("lexical", "adaptive").join(pair_scores, ["query_id", "chunk_id"], "left").join(top_scores, "query_id", "left")
+    lexical = F.coalesce(F.when(F.col("top") >= 1e-9, _four(F.col("bm25") / F.col("top"))), F.lit(0.0))
+    mean = F.floor((F.round(F.col("lexical") * 10_000) + F.round(F.col("dense") * 10_000)) / 2 + 0.5) / 10_000
+    adaptive = F.when(F.col("method") == "dense", F.col("dense")).when(F.col("method") == "bm25", F.col("lexical")).otherwise(mean)
+    return own.withColumn("lexical", lexical).withColumn("adaptive", adaptive).drop("bm25", "top")
+
+
+#: Fixed value: the answer where nothing was found.
+NO_ANSWER = "No relevant evidence was found to answer this question."
+
+
+def answered(answers: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """answers of all queries (query_id): those without a chunk get NO_ANSWER, with confidence and coverage 0."""
+    full = queries.select(*by, "query_id").distinct().join(answers, [*by, "query_id"], "left")
+    return full.withColumn("answer", F.coalesce("answer", F.lit(NO_ANSWER))).fillna(0.0, ["confidence", "coverage"])
+
+
 def extractive_answers(scored: DataFrame, chunks: DataFrame, scorer: str = "adaptive", n: int = 3, length: int = 200, by: tuple[str, ...] = ()) -> DataFrame:
     """query_id, answer, confidence, coverage: the first n chunks of each list quoted as '[i] text', with the mean of their
     scores and their share of the list. scored is one list per query; chunks has one row per chunk_id."""

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, chunking, constraints, dense, evidence, fusion, metrics, planning, sparse, tables, validation
+from ..operators import analysis, chunking, constraints, dense, evidence, fusion, metrics, planning, search, sparse, tables, validation
 from ..operators import references as refs
 from ..session import staged
-from ..sources.tables import table
+from ..sources.tables import cache_key, cache_lookup, table
+from ..sources.tables import inherited_metadata as inherited
 
 RUN_METHODS = ("bm25", "dense", "hybrid")
 EVALUATED = ("bm25", "dense", "hybrid", "rule_planner", "llm_planner", "v2_oracle")
@@ -86,14 +87,19 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_stats_idf(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder, "section_path", "text")
-    idf = sparse.inverse_frequencies(staged(sparse.postings(chunks, T.index_text()), "postings"), chunks.count())
-    return idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, folder).weighted().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _index(spark: SparkSession, folder: str) -> sparse.Index:
+    return sparse.build(_chunks(spark, folder, "section_path", "text"), T.index_text())
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return _queries(spark, folder, "query_text").where("cast(regexp_extract(query_id, '([0-9]+)$', 1) AS bigint) % 100 = 0")
 
 
 def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
-    asked = _queries(spark, folder, "query_text").where("cast(regexp_extract(query_id, '([0-9]+)$', 1) AS bigint) % 100 = 0")
-    return sparse.bm25(_chunks(spark, folder, "section_path", "text"), asked, T.index_text())
+    return sparse.bm25(_index(spark, folder), _asked(spark, folder))
 
 
 def dense_top10(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,7 +240,7 @@ def validation_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.verdicts(_scored(spark, folder), _queries(spark, folder, "reasoning_type"))
+    return validation.verdicts(_scored(spark, folder), _queries(spark, folder, "reasoning_type", "query_text"))
 
 
 def validation_decisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,7 +326,7 @@ def chunk_token_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
-    return chunking.chunk(_docs(spark, folder, "body"), strategy)
+    return chunking.chunk(_docs(spark, folder, "body", "category"), strategy)
 
 
 def chunk_section_aware(spark: SparkSession, folder: str) -> DataFrame:
@@ -361,15 +367,15 @@ def first_two_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def references_of_meetings(spark: SparkSession, folder: str) -> DataFrame:
     """Live documents that meeting notes refer to, with their categories (a self-join by reference)."""
-    docs = _docs(spark, folder, "category", "reference_ids")
+    docs = _docs(spark, folder, "category", "reference_ids", "deleted_at")
     out = docs.where("category = 'Project Meeting Notes'").select(F.col("document_id").alias("meeting_id"), F.explode(F.array_distinct("reference_ids")).alias("r")).select("meeting_id", refs.clean_key("r").alias("document_id"))
-    return out.join(docs.select("document_id", F.col("category").alias("target_category")), "document_id").groupBy("target_category").agg(F.count("*").alias("n_references"), F.countDistinct("meeting_id").alias("n_meetings"))
+    return out.join(docs.where("deleted_at IS NULL").select("document_id", F.col("category").alias("target_category")), "document_id").groupBy("target_category").agg(F.count("*").alias("n_references"), F.countDistinct("meeting_id").alias("n_meetings"))
 
 
 def label_rebalance(spark: SparkSession, folder: str) -> DataFrame:
-    labels = _queries(spark, folder, "planner_oracle_strategy").select("query_id", F.col("planner_oracle_strategy").alias("label")).where("label IS NOT NULL")
+    labels = _queries(spark, folder, "planner_oracle_strategy", "answerable").where("coalesce(answerable, true)").select("query_id", F.col("planner_oracle_strategy").alias("label")).where("label IS NOT NULL")
     target = {"keyword": 0.20, "dense": 0.20, "hybrid": 0.24, "table_aware": 0.12, "multi_hop": 0.12, "metadata_filtered": 0.12}
-    return analysis.rebalance(labels, target, (("keyword", "hybrid"), ("table_aware", "metadata_filtered"))).groupBy("label", "new_label").agg(F.count("*").alias("n"))
+    return analysis.rebalance(labels, target, (("keyword", "hybrid"), ("table_aware", "metadata_filtered"), ("dense", "hybrid"))).groupBy("label", "new_label").agg(F.count("*").alias("n"))
 
 
 def oracle_validation(spark: SparkSession, folder: str) -> DataFrame:
@@ -390,12 +396,182 @@ def numbered_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repeated_projects(spark: SparkSession, folder: str) -> DataFrame:
-    """Projects with at least three meeting records: how many, and the characters of their texts (sum with a lower bound on the group)."""
-    docs = table(spark, folder, "documents").where("source = 'meeting_archive' AND project_code IS NOT NULL")
+    """Projects with at least three meeting records, however their source is spelt: how many, and the characters of their texts."""
+    docs = table(spark, folder, "documents").where((T.plain_name(F.col("source")) == "meeting_archive") & F.col("project_code").isNotNull())
     sums = docs.groupBy("project_code").agg(F.count("*").alias("n_records"), F.sum(F.length("text")).alias("n_chars"), F.date_format(F.min("collected_at"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("collected_at"), "yyyy-MM-dd").alias("last_day"))
     return sums.where("n_records >= 3")
 
 
+def _of_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return _queries(spark, folder, "category", "reasoning_type").select("query_id", analysis.known("category").alias("category"), analysis.known("reasoning_type").alias("reasoning_type"))
+
+
+def contribution_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Contributions by category and by reasoning type, with percentages and both levels."""
+    each = analysis.stack(_contributions(spark, folder).join(_of_queries(spark, folder), "query_id"), ("category", "reasoning_type"))
+    return analysis.contribution_shares(each, "attribute", "value", percent=True)
+
+
+def prompt_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.prompt_quality(_decisions(spark, folder, "prompt_version", "selected_strategy", "oracle_strategy_mapped", "is_correct", "parse_success"), planning.STRATEGIES, "prompt_version")
+
+
+def pilot_report(spark: SparkSession, folder: str) -> DataFrame:
+    d = _decisions(spark, folder, "prompt_version", "model", "parse_success", "fallback_used", "parse_attempts", "latency_s", "prompt_tokens", "completion_tokens", "estimated_cost_usd")
+    return analysis.pilot_report(d, "prompt_version", "model")
+
+
+def pilot_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five decisions of each prompt version."""
+    d = _decisions(spark, folder, "prompt_version", "query_id", "selected_strategy", "is_correct")
+    return evidence.first_rows(d, "prompt_version", ["decision_id"], 5).select("prompt_version", "place", "decision_id", "query_id", "selected_strategy", "is_correct")
+
+
+def error_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Error categories of wrong decisions in all, by reasoning type and by category, with percentages, most frequent first."""
+    wrong = _decisions(spark, folder, "is_correct", "prompt_version", "oracle_strategy_source", "reasoning_type", "difficulty_factors", "category").where("NOT is_correct").withColumn("error", planning.error_category())
+    return analysis.shares_of(wrong, "error", ("reasoning_type", "category"))
+
+
+def notable_changes(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.notable_changes(_evaluated(spark, folder, "method", "recall_at_k", "category", "reasoning_type", "difficulty"), "hybrid", "bm25", ("category", "reasoning_type", "difficulty"))
+
+
+def reasoning_type_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean recall of two methods for the reasoning types that either has."""
+    ev = _evaluated(spark, folder, "method", "recall_at_k", "reasoning_type")
+    return analysis.key_union(ev.where("method = 'v2_oracle'"), ev.where("method = 'hybrid'"), "reasoning_type", "recall_at_k")
+
+
+def missed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Required chunks that were not retrieved, per evaluated query (the difference of two sets), and whether all were found."""
+    keys = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), refs.clean_key), lambda x: x.isNotNull()))
+    ev = _evaluated(spark, folder, "method", "required_chunk_ids", "retrieved_chunk_ids")
+    missed = F.array_except(keys("required_chunk_ids"), keys("retrieved_chunk_ids"))
+    return ev.select("failure_id", "method", F.array_join(F.array_sort(missed), "|").alias("missed"), F.size(missed).cast("long").alias("n_missed"))
+
+
+def rrf_best_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The fused run of the constant with the best mean recall at 10 (the smallest of equals)."""
+    best = rrf_sweep(spark, folder).agg(F.max_by("rrf_k", F.struct("recall", -F.col("rrf_k"))).alias("k")).first()["k"]  # one number of four
+    return fusion.fuse(_lists(spark, folder, 100, ("bm25", "dense")), int(best), 10).withColumn("rrf_k", F.lit(int(best)).cast("long"))
+
+
+def pipeline_loops(spark: SparkSession, folder: str) -> DataFrame:
+    """Loops that queries took, in all and by reasoning type."""
+    rows = analysis.stack(_outcome(spark, folder).join(_of_queries(spark, folder), "query_id").withColumn("all", F.lit("all")), ("all", "reasoning_type"))
+    return validation.loop_histogram(rows, "attribute", "value")
+
+
+def pipeline_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most frequent reasons of failure, in all and by reasoning type."""
+    rows = _outcome(spark, folder).where("NOT passed AND failure_reason IS NOT NULL").join(_of_queries(spark, folder), "query_id")
+    return analysis.shares_of(rows, "failure_reason", ("reasoning_type",)).where("place <= 5")
+
+
+def pipeline_experiments(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries, pass rate, mean loops and loop counts of each configuration of the pipeline."""
+    scored = staged(_scored(spark, folder), "scored")
+    given = staged(_queries(spark, folder, "reasoning_type", "query_text", "retrieval_difficulty_factors", "category", "planner_oracle_strategy"), "asked")
+    told = given.withColumn("reasoning_type", T.question_type(F.col("query_text")))
+    out = None
+    for name, oracle, scorer, loops in validation.EXPERIMENTS:
+        queries = given if oracle else told
+        judged = staged(validation.verdicts(scored, queries, scorer), "verdicts")
+        end = validation.retry(planning.rule_decisions(queries).select("query_id", F.col("selected_strategy").alias("strategy")), judged, loops)
+        n = [F.count(F.when(F.col("loop_count") == i, 1)).alias(f"n_loops_{i}") for i in range(4)]
+        row = end.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"), F.round(F.avg("loop_count"), 3).alias("mean_loops"), *n).withColumn("config", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def rescored_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """The lists of the searched queries, with BM25 scores over the best of the corpus in place of scores over the list's own best."""
+    index, asked = _index(spark, folder), staged(_asked(spark, folder), "asked")
+    scored = _scored(spark, folder).drop("run_id").join(asked.select("query_id"), "query_id", "left_semi")
+    top = sparse.bm25(index, asked, 1).select("query_id", F.col("score").alias("top"))
+    own = sparse.pair_scores(index, asked, scored.select("query_id", "chunk_id").distinct())
+    return validation.rescored(scored, own, top).select("method", "query_id", "chunk_id", "rank", "lexical", "dense", "adaptive")
+
+
+def complete_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """An answer for every query, also where nothing was retrieved."""
+    return validation.answered(extractive_answers(spark, folder), _queries(spark, folder, "query_text"))
+
+
+def slot_fill_from_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The second stage of dependent questions: their slot filled from what the hybrid run found for them first."""
+    q = _queries(spark, folder, "query_text").where("query_text LIKE '%{id}%'").select("query_id", "query_text", F.lit("id").alias("slot"), F.col("query_id").alias("needs"))
+    return search.fill_from(_lists(spark, folder, 3, ("hybrid",)), q, _chunks(spark, folder, "document_id"))
+
+
+def merged_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    """Retrieval by question type: for aggregations the lists of all methods merged (best rank of a chunk), for others the planned one."""
+    kinds = _queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy")
+    lists = staged(_lists(spark, folder, 10), "lists")
+    many = kinds.where("reasoning_type = 'aggregation'").select("query_id")
+    merged = fusion.merge_best_rank(lists.join(many, "query_id", "left_semi"))
+    single = fusion.assemble(planning.rule_decisions(kinds).join(many, "query_id", "left_anti"), lists)
+    return merged.select("query_id", "chunk_id", "rank", F.lit("merged").alias("mode")).unionByName(single.select("query_id", "chunk_id", "rank", F.lit("independent").alias("mode")))
+
+
+def response_cache_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """How many requests of each model the cache of parsed responses would have answered."""
+    d = _decisions(spark, folder, "query_id", "model", "prompt_version", "raw_response", "parse_success", "decided_at").where("query_id IS NOT NULL AND model IS NOT NULL AND prompt_version IS NOT NULL")
+    kept = d.where("parse_success AND raw_response IS NOT NULL").select(cache_key().alias("cache_key"), "raw_response", F.struct("decided_at", "decision_id").alias("created_at"))
+    found = cache_lookup(d.select("query_id", "model", "prompt_version").distinct(), kept)
+    return found.groupBy("model").agg(F.count("*").alias("n_requests"), F.count(F.when(F.col("cache_hit"), 1)).alias("n_hits"))
+
+
+def seeded_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """A hundred queries without replacement, the same in every run."""
+    return analysis.seeded_sample(_queries(spark, folder, "category"), "query_id", 100)
+
+
+def query_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """New ids in one sequence over all queries that have required chunks, in a shuffled order."""
+    kept = metrics.relevant(_queries(spark, folder, "answerable", "required_chunk_ids")).select("query_id").distinct()
+    return analysis.places_by_hash(kept, "query_id").select("query_id", F.concat(F.lit("Q-"), F.lpad(F.col("place").cast("string"), 9, "0")).alias("new_id"))
+
+
+def inherited_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with what they inherit from their documents, counted by what is missing."""
+    keys = ("title", "doc_version", "region", "status", "department", "document_owner", "confidentiality", "effective_date", "source_path")
+    found = inherited(_chunks(spark, folder, "document_id"), _docs(spark, folder, *keys), keys)
+    return found.groupBy(F.array_join("missing", "|").alias("missing")).agg(F.count("*").alias("n_chunks"))
+
+
+def dependency_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in the order in which they can be read: 0 where no live document is referred to, 1 where one is."""
+    docs = _docs(spark, folder, "category", "reference_ids", "deleted_at")
+    live = docs.where("deleted_at IS NULL").select(F.col("document_id").alias("key"))
+    out = docs.select("document_id", F.explode("reference_ids").alias("r")).select("document_id", refs.clean_key("r").alias("key")).join(live, "key", "left_semi").select("document_id").distinct().withColumn("level", F.lit(1).cast("long"))
+    return docs.join(out, "document_id", "left").groupBy("category", F.coalesce("level", F.lit(0).cast("long")).alias("level")).agg(F.count("*").alias("n_documents"))
+
+
+def deprecated_replacements(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder, "status", "category", "department", "deleted_at").withColumn("status", T.plain_name(F.col("status")))
+    return evidence.replacements(docs, "deprecated", "active", ("category", "department"))
+
+
+def first_document_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder, "category", "department", "created_at").where("category IS NOT NULL AND department IS NOT NULL").withColumn("family", F.concat_ws("/", "category", "department"))
+    return evidence.first_pairs(docs, "family", ["created_at", "document_id"], "document_id")
+
+
+def last_chunk_at_section(spark: SparkSession, folder: str) -> DataFrame:
+    """The last of the chunks that a section's start lies in (chunks may overlap), by their place in the document."""
+    s = evidence.sections(_docs(spark, folder, "body")).select("document_id", F.col("section_no").alias("point_id"), F.col("char_start").alias("at"))
+    c = _chunks(spark, folder, "document_id", "char_start", "char_end").where("char_start IS NOT NULL AND char_end IS NOT NULL AND document_id IS NOT NULL")
+    c = c.select("document_id", F.struct(F.col("char_start").cast("long").alias("a"), "chunk_id").alias("no"), F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+    return evidence.containing(s, c, last=True).select("document_id", F.col("point_id").alias("section_no"), F.col("no.chunk_id").alias("chunk_id"))
+
+
+def fixed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows of fixed_size as offsets."""
+    return chunk_fixed(spark, folder).select("chunk_id", "char_start", "char_end")
+
+
 # --- The same over every run, by rounds (fusion.run_rounds); round 1 is what the queries of the latest runs give. -------------
 
 BY = ("round",)
@@ -465,7 +641,7 @@ def validation_scores_rounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validation_decisions_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.verdicts(staged(_scored_rounds(spark, folder), "scored"), _queries(spark, folder, "reasoning_type"), by=BY)
+    return validation.verdicts(staged(_scored_rounds(spark, folder), "scored"), _queries(spark, folder, "reasoning_type", "query_text"), by=BY)
 
 
 def loop_outcome_rounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -505,6 +681,9 @@ QUERIES = {
         pilot_summary, heuristic_classify, validation_scores, validation_decisions, loop_outcome, pipeline_stats, dedup_keep_max_rerank, dedup_keep_best_rank, extractive_answers, citation_extract,
         slot_fill, plan_json_parse, evidence_spans, document_sections, section_of_offset, asof_chunk_of_section, chunk_statistics, chunk_token_percentiles, chunk_section_aware, chunk_fixed,
         chunk_recursive, dq_violations, dq_duplicates, first_last_event, first_two_documents, references_of_meetings, label_rebalance, oracle_validation, label_counts, table_rows, numbered_sections, repeated_projects, p4_found, p4_counts,
+        contribution_report, prompt_quality, pilot_report, pilot_samples, error_report, notable_changes, reasoning_type_union, missed_chunks, rrf_best_run, pipeline_loops, pipeline_reasons, pipeline_experiments,
+        rescored_validation, complete_answers, slot_fill_from_runs, merged_retrieval, response_cache_hits, seeded_sample, query_sequence, inherited_metadata, dependency_order, deprecated_replacements,
+        first_document_pairs, last_chunk_at_section, fixed_windows,
         run_rounds, query_metrics_rounds, macro_metrics_rounds, metrics_by_attribute_rounds, metrics_by_factor_rounds, rrf_fusion_rounds, rrf_sweep_rounds, contribution_overall_rounds, contribution_by_category_rounds,
         planner_run_assembly_rounds, validation_scores_rounds, validation_decisions_rounds, loop_outcome_rounds, pipeline_stats_rounds, dedup_keep_max_rerank_rounds, dedup_keep_best_rank_rounds, extractive_answers_rounds, citation_extract_rounds,
     )

@@ -36,7 +36,7 @@ _RUNS = """last AS (SELECT method, arg_max(run_id, (run_at, run_id)) AS run_id F
 rows0 AS (SELECT r.run_id, r.method, query_id, chunk_id, score, rank FROM retrieval_results r JOIN last ON r.method = last.method AND r.run_id = last.run_id WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
 once AS (SELECT * EXCLUDE (copy) FROM (SELECT *, row_number() OVER (PARTITION BY run_id, query_id, chunk_id ORDER BY score DESC, rank ASC NULLS LAST) AS copy FROM rows0) WHERE copy = 1),
 list AS (SELECT run_id, method, query_id, chunk_id, score, row_number() OVER (PARTITION BY run_id, query_id ORDER BY score DESC, rank ASC NULLS LAST, chunk_id) AS rank FROM once)"""
-_NEED = f"{_Q}, need AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, {_CLEAN.format('c')} AS chunk_id FROM (SELECT query_id, unnest(required_chunk_ids) AS c FROM q WHERE answerable)) WHERE chunk_id <> '')"
+_NEED = f"{_Q}, need AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, {_CLEAN.format('c')} AS chunk_id FROM (SELECT query_id, unnest(required_chunk_ids) AS c FROM q WHERE coalesce(answerable, true))) WHERE chunk_id <> '')"
 _MET = _NEED + ", " + _RUNS + f""", base AS (SELECT method, query_id, count(*) AS n_relevant FROM need, (SELECT DISTINCT method FROM rows0) GROUP BY ALL),
 hit AS (SELECT l.method, l.query_id, l.rank FROM list l JOIN need ON l.query_id = need.query_id AND {_CLEAN.format('l.chunk_id')} = need.chunk_id),
 ks AS (SELECT unnest([1, 3, 5, 10])::BIGINT AS k),
@@ -69,12 +69,12 @@ _COST = """count(*) AS n, round(avg(latency_s), 4) AS mean_latency_s, round(quan
 _SCORED = _RUNS + """, s0 AS (SELECT *, max(score) OVER (PARTITION BY method, query_id) AS top FROM list WHERE rank <= 10 AND method IN ('bm25', 'dense', 'hybrid')),
 s1 AS (SELECT method, query_id, chunk_id, score, rank::INTEGER AS rank, round(greatest(0, 1 - (rank - 1) * 0.1::DOUBLE), 4) AS rank_proxy, CASE WHEN top < 1e-9 THEN 0 ELSE floor(greatest(score, 0) / top * 10000 + 0.5) / 10000 END AS lexical, floor(greatest(0, least(1, score)) * 10000 + 0.5) / 10000 AS dense FROM s0),
 scored AS (SELECT *, CASE method WHEN 'dense' THEN dense WHEN 'bm25' THEN lexical ELSE floor((round(lexical * 10000) + round(dense * 10000)) / 2 + 0.5) / 10000 END AS adaptive FROM s1)"""
-_VERDICT = _Q + ", " + _SCORED + """, vb AS (SELECT query_id, coalesce(reasoning_type, 'unknown') AS reasoning_type, method FROM q, (SELECT unnest(['bm25', 'dense', 'hybrid']) AS method)),
-v0 AS (SELECT vb.method, vb.query_id, reasoning_type, count(adaptive) AS n_chunks, count(*) FILTER (adaptive >= CASE reasoning_type WHEN 'temporal' THEN 0.20 WHEN 'exception' THEN 0.22 WHEN 'multi_hop' THEN 0.20 ELSE 0.30 END) AS n_passed, count(*) FILTER (adaptive < 0.05) AS n_zero,
+_VERDICT = _Q + ", " + _SCORED + """, vb AS (SELECT query_id, coalesce(reasoning_type, 'unknown') AS reasoning_type, coalesce(reasoning_type = 'multi_hop' AND regexp_matches(query_text, '\\{\\w+\\}'), false) AS open_slot, method FROM q, (SELECT unnest(['bm25', 'dense', 'hybrid']) AS method)),
+v0 AS (SELECT vb.method, vb.query_id, reasoning_type, open_slot, count(adaptive) AS n_chunks, count(*) FILTER (adaptive >= CASE reasoning_type WHEN 'temporal' THEN 0.20 WHEN 'exception' THEN 0.22 WHEN 'multi_hop' THEN 0.20 ELSE 0.30 END) AS n_passed, count(*) FILTER (adaptive < 0.05) AS n_zero,
   CASE reasoning_type WHEN 'temporal' THEN 'bm25' WHEN 'exception' THEN 'dense' ELSE 'hybrid' END AS suits FROM vb LEFT JOIN scored USING (method, query_id) GROUP BY ALL),
 v1 AS (SELECT *, n_passed >= 3 AS passed, CASE WHEN n_passed >= 3 THEN NULL WHEN n_chunks = 0 THEN 'no_chunks' WHEN n_zero = n_chunks THEN CASE WHEN method = suits AND method = 'hybrid' THEN 'too_narrow' ELSE 'wrong_strategy' END
-  WHEN method <> suits AND n_zero > 0.6 * n_chunks THEN 'wrong_strategy' WHEN n_passed > 0 THEN 'insufficient_coverage' ELSE 'low_quality' END AS failure_reason FROM v0),
-verdict AS (SELECT method, query_id, reasoning_type, n_chunks, n_passed, passed, failure_reason, CASE WHEN failure_reason = 'no_chunks' THEN 'hybrid' WHEN failure_reason = 'wrong_strategy' THEN CASE WHEN method <> suits THEN suits ELSE 'hybrid' END
+  WHEN open_slot THEN 'missing_entity' WHEN method <> suits AND n_zero > 0.6 * n_chunks THEN 'wrong_strategy' WHEN n_passed > 0 THEN 'insufficient_coverage' ELSE 'low_quality' END AS failure_reason FROM v0),
+verdict AS (SELECT method, query_id, reasoning_type, n_chunks, n_passed, passed, failure_reason, CASE WHEN failure_reason = 'no_chunks' THEN 'hybrid' WHEN failure_reason = 'wrong_strategy' THEN CASE WHEN method <> suits THEN suits ELSE 'hybrid' END WHEN failure_reason = 'missing_entity' THEN method
   WHEN failure_reason IN ('insufficient_coverage', 'low_quality') AND method <> 'hybrid' THEN 'hybrid' END AS suggested_strategy FROM v1)"""
 _LOOP = _RULES + ", " + _VERDICT.split("q AS (", 1)[1].split("WHERE copy = 1), ", 1)[1] + ", l0 AS (SELECT query_id, selected_strategy AS strategy, 0 AS loop_count FROM planned)" + "".join(
     f", l{i} AS (SELECT l.query_id, CASE WHEN coalesce(v.passed, false) THEN l.strategy ELSE coalesce(v.suggested_strategy, l.strategy) END AS strategy, l.loop_count + CASE WHEN coalesce(v.passed, false) THEN 0 ELSE 1 END AS loop_count FROM l{i - 1} l LEFT JOIN verdict v ON v.query_id = l.query_id AND v.method = l.strategy)"
@@ -143,7 +143,8 @@ SQL = {
     "bm25_top10": f"""WITH {_IDF}, {_Q}, len AS (SELECT sum(dl) / (SELECT n FROM n) AS avgdl FROM (SELECT DISTINCT chunk_id, dl FROM post)),
  asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tokens('query_text', True)}) AS term FROM q WHERE regexp_extract(query_id, '([0-9]+)$', 1)::BIGINT % 100 = 0) GROUP BY ALL),
  s AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM post JOIN asked USING (term) JOIN idf USING (term), len GROUP BY ALL)
- SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+ SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+ UNION ALL SELECT query_id, (SELECT min(chunk_id) FROM ch), 0.0::DOUBLE, 1 FROM asked GROUP BY 1 HAVING count(*) FILTER (term IN (SELECT term FROM df)) = 0 AND (SELECT min(chunk_id) FROM ch) IS NOT NULL""",
     "dense_top10": f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM top WHERE rank <= 10",
     "dense_label_precision": f"WITH {_DENSE} SELECT query_id, round(avg((la = lb)::INT), 4) AS precision FROM top WHERE rank <= 10 GROUP BY 1",
     "rrf_fusion_top10": f"WITH {_RUNS}, c AS (SELECT * FROM list WHERE rank <= 100 AND method IN ('bm25', 'dense')) SELECT * FROM ({_fuse('10')}) WHERE rank <= 10",
@@ -216,10 +217,12 @@ SQL = {
     "first_last_event": "SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_value, arg_max(event_type, (ts, event_id)) AS last_value, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1",
     "first_two_documents": f"WITH {_DOC} SELECT category, place, document_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY created_at NULLS FIRST, document_id) AS place FROM doc WHERE title IS NOT NULL AND category IS NOT NULL) WHERE place <= 2",
     "references_of_meetings": f"""WITH {_DOC}, r AS (SELECT document_id AS meeting_id, {_CLEAN.format('r')} AS document_id FROM (SELECT document_id, unnest(list_distinct(reference_ids)) AS r FROM doc WHERE category = 'Project Meeting Notes'))
- SELECT doc.category AS target_category, count(*) AS n_references, count(DISTINCT meeting_id) AS n_meetings FROM r JOIN doc ON r.document_id = doc.document_id GROUP BY 1""",
-    "label_rebalance": f"""WITH {_Q}, l AS (SELECT query_id, planner_oracle_strategy AS label FROM q WHERE planner_oracle_strategy IS NOT NULL), n AS (SELECT label, count(*) AS n FROM l WHERE label IN ('keyword', 'dense', 'hybrid', 'table_aware', 'multi_hop', 'metadata_filtered') GROUP BY 1), total AS (SELECT sum(n) AS total FROM n),
- pair(giver, taker, gs, ts) AS (VALUES ('keyword', 'hybrid', 0.20::DOUBLE, 0.24::DOUBLE), ('table_aware', 'metadata_filtered', 0.12, 0.12)),
- move AS (SELECT giver, taker, greatest(0, least(coalesce(g.n, 0) - floor(gs * total), floor(ts * total) - coalesce(t.n, 0))) AS m FROM pair CROSS JOIN total LEFT JOIN n g ON g.label = giver LEFT JOIN n t ON t.label = taker),
+ SELECT doc.category AS target_category, count(*) AS n_references, count(DISTINCT meeting_id) AS n_meetings FROM r JOIN doc ON r.document_id = doc.document_id WHERE doc.deleted_at IS NULL GROUP BY 1""",
+    "label_rebalance": f"""WITH {_Q}, l AS (SELECT query_id, planner_oracle_strategy AS label FROM q WHERE planner_oracle_strategy IS NOT NULL AND coalesce(answerable, true)), n AS (SELECT label, count(*) AS n FROM l WHERE label IN ('keyword', 'dense', 'hybrid', 'table_aware', 'multi_hop', 'metadata_filtered') GROUP BY 1), total AS (SELECT sum(n) AS total FROM n),
+ c AS (SELECT total, coalesce(max(n) FILTER (label = 'keyword'), 0) AS k, coalesce(max(n) FILTER (label = 'dense'), 0) AS d, coalesce(max(n) FILTER (label = 'hybrid'), 0) AS h, coalesce(max(n) FILTER (label = 'table_aware'), 0) AS t, coalesce(max(n) FILTER (label = 'metadata_filtered'), 0) AS m FROM n, total GROUP BY 1),
+ m1 AS (SELECT *, greatest(0, least(k - floor(0.20::DOUBLE * total), floor(0.24::DOUBLE * total) - h)) AS a, greatest(0, least(t - floor(0.12::DOUBLE * total), floor(0.12::DOUBLE * total) - m)) AS b FROM c),
+ m2 AS (SELECT *, greatest(0, least(d - floor(0.20::DOUBLE * total), floor(0.24::DOUBLE * total) - h - a)) AS e FROM m1),
+ move AS (SELECT 'keyword' AS giver, 'hybrid' AS taker, a AS m FROM m2 UNION ALL SELECT 'table_aware', 'metadata_filtered', b FROM m2 UNION ALL SELECT 'dense', 'hybrid', e FROM m2),
  o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || query_id), query_id) AS place FROM l)
  SELECT label, CASE WHEN place <= m THEN taker ELSE label END AS new_label, count(*) AS n FROM o LEFT JOIN move ON giver = label GROUP BY 1, 2""",
     "oracle_validation": f"""WITH {_EV}, m AS (SELECT coalesce(nullif(reasoning_type, ''), 'unknown') AS value, method, round(avg(recall_at_k), 4) AS recall, count(*) AS n FROM ev GROUP BY 1, 2),
@@ -230,7 +233,7 @@ SQL = {
  c AS (SELECT chunk_id, line_no, list_transform(string_split(substring(line, 2, length(line) - 2), '|'), lambda x: trim(x)) AS cells, is_header FROM h WHERE NOT sep),
  f AS (SELECT *, last_value(CASE WHEN is_header THEN len(cells) END IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS width FROM c)
  SELECT chunk_id, line_no, array_to_string(CASE WHEN width IS NULL THEN cells ELSE list_resize(cells, width, '') END, '|') AS cells, is_header, width FROM f""",
-    "repeated_projects": "SELECT project_code, count(*) AS n_records, sum(length(text))::BIGINT AS n_chars, strftime(min(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS first_day, strftime(max(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS last_day FROM documents WHERE source = 'meeting_archive' AND project_code IS NOT NULL GROUP BY 1 HAVING count(*) >= 3",
+    "repeated_projects": "SELECT project_code, count(*) AS n_records, sum(length(text))::BIGINT AS n_chars, strftime(min(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS first_day, strftime(max(collected_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS last_day FROM documents WHERE translate(lower(regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '- ', '__') = 'meeting_archive' AND project_code IS NOT NULL GROUP BY 1 HAVING count(*) >= 3",
     "label_counts": f"WITH {_Q} SELECT attribute, value, count(*) AS n FROM (" + _stack("q", ("category", "reasoning_type", "difficulty", "planner_oracle_strategy", "lang")) + ") GROUP BY 1, 2",
     "p4_found": _P4 + "SELECT * FROM found",
     "p4_counts": _P4 + """
@@ -241,6 +244,87 @@ FROM n JOIN t ON n.table_name = t.table_name AND n.field_name = t.field_name AND
 """,
 }
 
+_KNOWN = "coalesce(nullif({0}, ''), 'unknown')"
+_KINDQ = f"kq AS (SELECT query_id, {_KNOWN.format('category')} AS category, {_KNOWN.format('reasoning_type')} AS reasoning_type FROM q)"
+_PCT = ", ".join(f"round(100 * n_{c} / greatest(n_required, 1), 1) AS pct_{c}" for c in ("both", "bm25_only", "dense_only", "hybrid_only", "not_found"))
+_RATES = "round(avg(CASE WHEN parse_success THEN 1.0 ELSE 0.0 END), 4) AS parse_rate, round(avg(CASE WHEN fallback_used THEN 1.0 ELSE 0.0 END), 4) AS fallback_rate, round(avg(parse_attempts), 4) AS avg_attempts, min(latency_s) AS min_latency_s, max(latency_s) AS max_latency_s"
+
+
+def _shares_of(source: str, label: str, attributes: tuple[str, ...]) -> str:
+    stacked = f"SELECT *, 'all' AS attribute, 'all' AS value FROM {source} UNION ALL " + _stack(source, attributes)
+    return f"SELECT *, round(100 * n / sum(n) OVER (PARTITION BY attribute, value), 1) AS percent, row_number() OVER (PARTITION BY attribute, value ORDER BY n DESC, {label}) AS place FROM (SELECT attribute, value, {label}, count(*) AS n FROM ({stacked}) GROUP BY ALL)"
+
+
+def _quality(s: str) -> str:
+    tp, fp, fn = (f"count(*) FILTER ({c})" for c in (f"selected_strategy = '{s}' AND is_correct", f"selected_strategy = '{s}' AND NOT coalesce(is_correct, false)", f"oracle_strategy_mapped = '{s}' AND NOT coalesce(is_correct, false)"))
+    return f"round(coalesce({tp} / nullif({tp} + {fp}, 0), 0), 4) AS precision_{s}, round(coalesce({tp} / nullif({tp} + {fn}, 0), 0), 4) AS recall_{s}, round(coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0), 4) AS f1_{s}"
+
+
+def _experiment(name: str, sql: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (loop_count = {i}) AS n_loops_{i}" for i in range(4))
+    return f"SELECT '{name}' AS config, * FROM (WITH {sql} SELECT count(*) AS n_queries, round(avg(passed::INT), 4) AS pass_rate, round(avg(loop_count), 3) AS mean_loops, {counts} FROM outcome)"
+
+
+def _plain(sql: str, *pairs: tuple[str, str]) -> str:
+    for a, b in pairs:
+        assert sql.count(a) >= 1, a
+        sql = sql.replace(a, b)
+    return sql
+
+
+_TOLD = _LOOP.replace(_Q, _Q.replace("q AS (", "q0 AS (", 1) + f", q AS (SELECT * REPLACE ({_KINDS} AS reasoning_type) FROM q0)", 1)
+_SWEEP = SQL["rrf_sweep"]
+_LISTED = "list_sort(list_distinct(list_filter(list_transform(coalesce({0}, []), lambda x: " + _CLEAN.format("x") + "), lambda x: x <> '')))"
+_META = ("title", "doc_version", "region", "status", "department", "document_owner", "confidentiality", "effective_date", "source_path")
+
+SQL |= {
+    "contribution_report": f"WITH {_CONTRIB}, {_KINDQ}, x AS (SELECT cls.*, category, reasoning_type FROM cls JOIN kq USING (query_id)) SELECT *, {_PCT}, {_LEVEL}, CASE WHEN hybrid_gain > 0.05 THEN 'significant' ELSE 'small' END AS hybrid_gain_level FROM (SELECT attribute, value, {_SHARES} FROM ({_stack('x', ('category', 'reasoning_type'))}) GROUP BY 1, 2)",
+    "prompt_quality": f"WITH {_DEC} SELECT prompt_version, count(*) AS n, round(avg(coalesce(is_correct, false)::INT), 4) AS accuracy, count(*) FILTER (NOT coalesce(parse_success, false)) AS n_parse_failures, {', '.join(map(_quality, ('bm25', 'dense', 'hybrid')))} FROM d GROUP BY 1",
+    "pilot_report": f"WITH {_DEC} SELECT prompt_version, model, count(*) AS n, {_RATES}, count(*) FILTER (NOT coalesce(parse_success, false)) AS n_failed, round(avg(latency_s), 4) AS mean_latency_s, round(quantile_cont(latency_s, 0.5), 4) AS median_latency_s, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(estimated_cost_usd), 4) AS cost_usd FROM d GROUP BY 1, 2",
+    "pilot_samples": f"WITH {_DEC} SELECT prompt_version, place, decision_id, query_id, selected_strategy, is_correct FROM (SELECT *, row_number() OVER (PARTITION BY prompt_version ORDER BY decision_id) AS place FROM d WHERE prompt_version IS NOT NULL) WHERE place <= 5",
+    "error_report": f"WITH {_DEC}, x AS (SELECT {_ERROR} AS error, reasoning_type, category FROM d WHERE NOT is_correct) {_shares_of('x', 'error', ('reasoning_type', 'category'))}",
+    "notable_changes": f"WITH {_EV}, s AS (SELECT attribute, value, avg(recall_at_k) FILTER (method = 'hybrid') AS a, coalesce(avg(recall_at_k) FILTER (method = 'bm25'), 0) AS b FROM ({_stack('ev', ('category', 'reasoning_type', 'difficulty'))}) GROUP BY 1, 2), v AS (SELECT attribute, value, CASE WHEN round(a - b, 4) > 0.05 THEN 'improved' WHEN round(a - b, 4) < -0.03 THEN 'regressed' END AS verdict, round(a, 4) AS recall, round(b, 4) AS baseline_recall, round(a - b, 4) AS delta FROM s WHERE a IS NOT NULL) SELECT *, row_number() OVER (PARTITION BY attribute, verdict ORDER BY abs(delta) DESC, value) AS place FROM v WHERE verdict IS NOT NULL",
+    "reasoning_type_union": f"WITH {_EV}, a AS (SELECT {_KNOWN.format('reasoning_type')} AS reasoning_type, round(avg(recall_at_k), 4) AS a FROM ev WHERE method = 'v2_oracle' GROUP BY 1), b AS (SELECT {_KNOWN.format('reasoning_type')} AS reasoning_type, round(avg(recall_at_k), 4) AS b FROM ev WHERE method = 'hybrid' GROUP BY 1) SELECT reasoning_type, a, b, round(a - b, 4) AS delta FROM a FULL JOIN b USING (reasoning_type)",
+    "missed_chunks": f"WITH {_EV}, m AS (SELECT failure_id, method, list_filter({_LISTED.format('required_chunk_ids')}, lambda x: NOT list_contains({_LISTED.format('retrieved_chunk_ids').replace('x:', 'y:').replace('upper(regexp_replace(x', 'upper(regexp_replace(y').replace('y: x <>', 'y: y <>')}, x)) AS m FROM ev) SELECT failure_id, method, array_to_string(m, '|') AS missed, len(m)::BIGINT AS n_missed FROM m",
+    "rrf_best_run": f"WITH best AS (SELECT rrf_k FROM ({_SWEEP}) ORDER BY recall DESC, rrf_k LIMIT 1), {_RUNS}, c AS (SELECT list.*, rrf_k FROM list, best WHERE rank <= 100 AND method IN ('bm25', 'dense')) SELECT * FROM ({_fuse('rrf_k', 'rrf_k, ')}) WHERE rank <= 10",
+    "pipeline_loops": f"WITH {_LOOP}, {_KINDQ}, x AS (SELECT outcome.*, kq.reasoning_type FROM outcome JOIN kq USING (query_id)) SELECT attribute, value, loop_count::BIGINT AS loop_count, count(*) AS n_queries, count(*) FILTER (passed) AS n_passed FROM (SELECT *, 'all' AS attribute, 'all' AS value FROM x UNION ALL {_stack('x', ('reasoning_type',))}) GROUP BY 1, 2, 3",
+    "pipeline_reasons": f"WITH {_LOOP}, {_KINDQ}, x AS (SELECT outcome.*, kq.reasoning_type FROM outcome JOIN kq USING (query_id) WHERE NOT passed AND failure_reason IS NOT NULL) SELECT * FROM ({_shares_of('x', 'failure_reason', ('reasoning_type',))}) WHERE place <= 5",
+    "pipeline_experiments": " UNION ALL ".join((
+        _experiment("v2_oracle", _LOOP), _experiment("v2_oracle_noloop", _plain(_LOOP, ("FROM l3 l", "FROM l0 l"))),
+        _experiment("v2_oracle_rankproxy", _plain(_LOOP, ("count(adaptive)", "count(rank_proxy)"), ("(adaptive >=", "(rank_proxy >="), ("(adaptive <", "(rank_proxy <"))), _experiment("v2_heuristic", _TOLD))),
+    "rescored_validation": f"""WITH {_IDF}, {_Q}, {_SCORED}, len AS (SELECT sum(dl) / (SELECT n FROM n) AS avgdl FROM (SELECT DISTINCT chunk_id, dl FROM post)),
+ asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tokens('query_text', True)}) AS term FROM q WHERE regexp_extract(query_id, '([0-9]+)$', 1)::BIGINT % 100 = 0) GROUP BY ALL),
+ b AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25 FROM post JOIN asked USING (term) JOIN idf USING (term), len GROUP BY ALL),
+ t AS (SELECT query_id, max(bm25) AS top FROM b GROUP BY 1),
+ y AS (SELECT scored.method, scored.query_id, scored.chunk_id, rank, dense, CASE WHEN top >= 1e-9 THEN floor(coalesce(bm25, 0) / top * 10000 + 0.5) / 10000 ELSE 0 END AS lexical FROM scored LEFT JOIN b ON b.query_id = scored.query_id AND b.chunk_id = scored.chunk_id LEFT JOIN t ON t.query_id = scored.query_id
+   WHERE scored.query_id IN (SELECT query_id FROM q WHERE regexp_extract(query_id, '([0-9]+)$', 1)::BIGINT % 100 = 0))
+ SELECT *, CASE method WHEN 'dense' THEN dense WHEN 'bm25' THEN lexical ELSE floor((round(lexical * 10000) + round(dense * 10000)) / 2 + 0.5) / 10000 END AS adaptive FROM y""",
+    "complete_answers": f"WITH {_ANSWER}, {_Q} SELECT q.query_id, coalesce(answer, 'No relevant evidence was found to answer this question.') AS answer, coalesce(confidence, 0) AS confidence, coalesce(coverage, 0) AS coverage FROM q LEFT JOIN ans ON q.query_id = ans.query_id",
+    "slot_fill_from_runs": f"WITH {_Q}, {_CH}, {_RUNS}, best AS (SELECT query_id, arg_min(document_id, (rank, list.chunk_id)) FILTER (document_id IS NOT NULL) AS value FROM list JOIN ch ON list.chunk_id = ch.chunk_id WHERE rank <= 3 AND method = 'hybrid' GROUP BY 1) SELECT q.query_id, replace(query_text, '{{id}}', coalesce(value, '{{id}}')) AS query_text FROM q LEFT JOIN best ON q.query_id = best.query_id WHERE query_text LIKE '%{{id}}%'",
+    "merged_retrieval": f"""WITH {_RULES}, {_RUNS}, c AS (SELECT list.* FROM list JOIN q ON list.query_id = q.query_id WHERE rank <= 10 AND method IN ('bm25', 'dense', 'hybrid') AND reasoning_type = 'aggregation'),
+ m AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, chunk_id) AS rank FROM (SELECT query_id, chunk_id, score, rank AS old, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, score DESC) AS copy FROM c) WHERE copy = 1)
+ SELECT *, 'merged' AS mode FROM m WHERE rank <= 10 UNION ALL SELECT list.query_id, chunk_id, rank, 'independent' FROM list JOIN planned ON list.query_id = planned.query_id AND list.method = selected_strategy WHERE rank <= 10 AND reasoning_type IS DISTINCT FROM 'aggregation'""",
+    "response_cache_hits": f"WITH {_DEC}, k AS (SELECT *, translate(query_id || '__' || model || '__' || prompt_version, '/: ', '___') AS key FROM d WHERE query_id IS NOT NULL AND model IS NOT NULL AND prompt_version IS NOT NULL), q0 AS (SELECT DISTINCT query_id, model, prompt_version, key FROM k) SELECT model, count(*) AS n_requests, count(*) FILTER (key IN (SELECT key FROM k WHERE parse_success AND raw_response IS NOT NULL)) AS n_hits FROM q0 GROUP BY 1",
+    "seeded_sample": f"WITH {_Q} SELECT query_id, category, row_number() OVER (ORDER BY md5('42|' || query_id), query_id) AS place FROM q QUALIFY place <= 100",
+    "query_sequence": f"WITH {_NEED} SELECT query_id, 'Q-' || lpad(row_number() OVER (ORDER BY md5('42|' || query_id), query_id)::VARCHAR, 9, '0') AS new_id FROM (SELECT DISTINCT query_id FROM need)",
+    "inherited_metadata": f"WITH {_CH}, {_DOC}, x AS (SELECT chunk_id, doc.* EXCLUDE (document_id) FROM ch LEFT JOIN doc ON ch.document_id = doc.document_id) SELECT array_to_string(list_filter([" + ", ".join(f"CASE WHEN {k} IS NULL THEN '{k}' END" for k in _META) + "], lambda v: v IS NOT NULL), '|') AS missing, count(*) AS n_chunks FROM x GROUP BY 1",
+    "dependency_order": f"WITH {_DOC}, r AS (SELECT DISTINCT document_id FROM (SELECT document_id, {_CLEAN.format('r')} AS key FROM (SELECT document_id, unnest(reference_ids) AS r FROM doc)) WHERE key IN (SELECT document_id FROM doc WHERE deleted_at IS NULL)) SELECT category, CASE WHEN document_id IN (SELECT document_id FROM r) THEN 1::BIGINT ELSE 0 END AS level, count(*) AS n_documents FROM doc GROUP BY 1, 2",
+    "deprecated_replacements": f"WITH {_DOC}, p AS (SELECT document_id, translate(lower(regexp_replace(status, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '- ', '__') AS status, category, department, deleted_at FROM doc), f AS (SELECT category, department, min(document_id) AS replacement FROM p WHERE status = 'active' AND deleted_at IS NULL GROUP BY 1, 2) SELECT document_id, replacement FROM p LEFT JOIN f ON p.category = f.category AND p.department = f.department WHERE status = 'deprecated'",
+    "first_document_pairs": f"""WITH {_DOC}, o AS (SELECT category || '/' || department AS family, document_id, row_number() OVER (PARTITION BY category || '/' || department ORDER BY created_at NULLS FIRST, document_id) AS place FROM doc WHERE category IS NOT NULL AND department IS NOT NULL)
+ SELECT family, max(document_id) FILTER (place = 1) AS "first", max(document_id) FILTER (place = 2) AS "second" FROM o WHERE place <= 2 GROUP BY 1 HAVING count(*) = 2""",
+    "last_chunk_at_section": f"WITH {_CH}, {_SECTIONS}, h AS (SELECT s.document_id, section_no, arg_max(ch.chunk_id, (ch.char_start, ch.chunk_id)) AS chunk_id FROM sect s LEFT JOIN ch ON ch.document_id = s.document_id AND ch.char_start <= s.char_start AND s.char_start < ch.char_end GROUP BY 1, 2) SELECT * FROM h",
+    "fixed_windows": f"""WITH RECURSIVE {_DOC}, w AS (
+  SELECT document_id, body, length(body) AS n, 0::BIGINT AS a, 0::BIGINT AS e, 0::BIGINT AS f FROM doc WHERE body IS NOT NULL
+  UNION ALL
+  SELECT document_id, body, n, a, e, CASE WHEN NOT regexp_matches(substring(body, a + 1, e - a), '[^\\s\\p{{Z}}]') THEN e WHEN e = n THEN n ELSE CASE WHEN j > 0 THEN greatest(g - 2, 0) + j + 1 ELSE g END END AS f FROM (
+    SELECT *, greatest(a + 1, e - 200) AS g, strpos(substring(body, greatest(greatest(a + 1, e - 200) - 2, 0) + 1, e - 1 - greatest(greatest(a + 1, e - 200) - 2, 0)), chr(10) || chr(10)) AS j FROM (
+      SELECT document_id, body, n, f AS a, CASE WHEN f + 1600 >= n THEN n WHEN strpos(reverse(substring(body, f + 1, 1600)), chr(10) || chr(10)) > 0 THEN f + 1600 - strpos(reverse(substring(body, f + 1, 1600)), chr(10) || chr(10)) + 1 ELSE f + 1600 END AS e
+      FROM w WHERE f < n AND (e < n OR n = 0)))
+), k AS (SELECT document_id, body, n, a, e FROM w WHERE e > 0 AND regexp_matches(substring(body, a + 1, e - a), '[^\\s\\p{{Z}}]')),
+ o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY a) AS i, lead(e) OVER v AS next_e, lead(a) OVER v AS next_a FROM k WINDOW v AS (PARTITION BY document_id ORDER BY a))
+ SELECT document_id || '-C' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS chunk_id, a::INTEGER AS char_start, (CASE WHEN next_e = n AND next_e - next_a < 80 THEN n ELSE e END)::INTEGER AS char_end FROM o WHERE NOT (e = n AND e - a < 80 AND i > 1)""",
+}
+
 # The same over every run: the text of each query once per round, for the runs of that round.
 _LAST = _RUNS.split(",\nrows0", 1)[0]
 

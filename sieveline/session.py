@@ -31,9 +31,12 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", name:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets one of our own; on a
+    cluster, where no folder of one machine will do, that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         where = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="spark-sieveline-"))
     return where.rstrip("/")
@@ -43,11 +46,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, sizes are known to the
     optimizer afterwards, and a lost executor costs nothing that is already written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{_staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what staged has written for this application; call it when no DataFrame made so far is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _staged_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def small(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows: the check that has to come before every broadcast hint."""
     return df.limit(max_rows + 1).count() <= max_rows

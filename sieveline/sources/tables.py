@@ -45,3 +45,20 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with their cached raw_response, null on a miss; the cache holds one row per cache_key."""
     one = cache.groupBy("cache_key").agg(F.max_by("raw_response", "created_at").alias("raw_response"))
     return requests.withColumn("cache_key", cache_key()).join(one, "cache_key", "left").withColumn("cache_hit", F.col("raw_response").isNotNull())
+
+
+def write_report(df: DataFrame, path: str, mode: str = "error") -> None:
+    """An aggregated report as one file of JSON Lines, one object per row; nulls are kept."""
+    df.coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def read_baseline(spark: SparkSession, path: str, k: int, schema: StructType | None = None) -> DataFrame:
+    """Saved metrics (write_report) at one k: what a later run is compared with. The filter reaches the scan."""
+    return (spark.read.schema(schema) if schema else spark.read).json(path).where(F.col("k") == k)
+
+
+def inherited_metadata(chunks: DataFrame, docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """chunks (chunk_id, document_id) with the named columns of their document, and missing: the names of those that are null, or
+    of all of them where the document is not there."""
+    joined = chunks.join(docs.select("document_id", *keys), "document_id", "left")
+    return joined.withColumn("missing", F.filter(F.array(*(F.when(F.col(k).isNull(), F.lit(k)) for k in keys)), lambda x: x.isNotNull()))

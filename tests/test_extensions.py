@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import providers, search, tables
+from sieveline.operators import providers, search, sparse, tables
 from sieveline.sources import tables as sources
 from sieveline.streaming import runs
 
@@ -40,10 +40,11 @@ def test_search_by_strategy(spark):
     queries = spark.createDataFrame([("100", "word3")], "query_id string, query_text string")
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 8)], "id long, v array<double>")
     qv = spark.createDataFrame([(100, [1.0, 0.0])], "id long, v array<double>")
-    of = lambda s: [r["chunk_id"] for r in search.search(s, chunks, queries, v, qv, k=3).orderBy("rank").collect()]
+    index = sparse.build(chunks, F.col("text"))
+    of = lambda s: [r["chunk_id"] for r in search.search(s, index, queries, v, qv, k=3).orderBy("rank").collect()]
     assert of("bm25") == ["3"] and of("dense") == ["7", "6", "5"] and of("hybrid")[0] == "3"
     dependent = spark.createDataFrame([("Q2", "limits in {doc}", "doc", "100"), ("Q3", "limits in {doc}", "doc", "none")], "query_id string, query_text string, slot string, needs string")
-    got = {r[0]: r[1] for r in search.fill_from(search.search("bm25", chunks, queries), dependent, chunks).collect()}
+    got = {r[0]: r[1] for r in search.fill_from(search.search("bm25", index, queries), dependent, chunks).collect()}
     assert got == {"Q2": "limits in D3", "Q3": "limits in {doc}"}
 
 

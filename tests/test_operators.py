@@ -43,16 +43,18 @@ def test_slots_and_citations(spark):
 def test_bm25_by_hand(spark):
     chunks = spark.createDataFrame([("A", [], "alpha beta beta"), ("B", [], "alpha gamma"), ("C", [], "delta epsilon zeta"), ("D", [], None), ("E", [], "eta theta")], "chunk_id string, section_path array<string>, text string")
     queries = spark.createDataFrame([("Q1", "beta beta"), ("Q2", "unknown"), ("Q3", None)], "query_id string, query_text string")
-    got = sparse.bm25(chunks, queries, T.index_text()).collect()
+    index = sparse.build(chunks, T.index_text())
+    got = sparse.bm25(index, queries).orderBy("query_id").collect()
     idf = math.log(5 - 1 + 0.5) - math.log(1 + 0.5)
     want = 2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2))
-    assert [(r["query_id"], r["chunk_id"], r["rank"]) for r in got] == [("Q1", "A", 1)]
+    assert [(r["query_id"], r["chunk_id"], r["rank"]) for r in got] == [("Q1", "A", 1), ("Q2", "A", 1)]
+    assert got[1]["score"] == 0  # none of its words is known: the first place is kept
     assert got[0]["score"] == pytest.approx(want, abs=1e-6)
 
 
 def test_dense_finds_nearest_and_skips_bad_vectors(spark):
     v = spark.createDataFrame([(i, [math.cos(i / 7), math.sin(i / 7)]) for i in range(20)] + [(99, None), (98, [1.0]), (None, [1.0, 0.0])], "id long, v array<double>")
-    got = dense.nearest(v, v.where("id = 0"), 3, block=1).orderBy("rank").collect()
+    got = dense.nearest(v, v.where("id = 0"), 3, block=1, cell=7).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == [1, 2, 3]
 
 
@@ -207,3 +209,126 @@ def test_nothing_outside_imports_the_llm_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in [w for line in p.read_text().splitlines() if "import" in line for w in line.replace(".", " ").split()], p
+
+
+def test_saved_index_and_pruned_search(spark, tmp_path):
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{min(int(rnd.paretovariate(0.6)), 300)}" for _ in range(20_000)]
+    chunks = spark.createDataFrame([(f"c{i:04d}", [], " ".join(words[i * 13 : i * 13 + rnd.randrange(5, 60)])) for i in range(1500)], "chunk_id string, section_path array<string>, text string")
+    queries = spark.createDataFrame([(f"Q{i}", " ".join(rnd.sample(words, 5)) + " w1 w2") for i in range(30)] + [("none", "unheard of"), ("null", None)], "query_id string, query_text string")
+    index = sparse.build(chunks, T.index_text(), str(tmp_path / "index"))
+    plain = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
+    want = plain(sparse.bm25(index, queries))
+    loaded = sparse.load(spark, str(tmp_path / "index"))
+    assert plain(sparse.bm25(loaded, queries, broadcast_terms=0)) == want and len(want) == 301
+    assert plain(sparse.bm25(loaded, queries, direct=0)) == want
+    assert plain(sparse.bm25(loaded, queries, direct=0, broadcast_terms=0)) == want
+    scored = {(r["query_id"], r["chunk_id"]): r["bm25"] for r in sparse.pair_scores(index, queries, sparse.bm25(index, queries).select("query_id", "chunk_id")).collect()}
+    assert all(scored[q, c] == pytest.approx(s, abs=2e-6) for q, _, c, s in want)
+    empty = sparse.build(chunks.limit(0), T.index_text())
+    assert sparse.bm25(empty, queries).count() == 0 and sparse.bm25(index, queries.limit(0)).count() == 0
+
+
+def test_nearest_in_cells_and_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8)).round(1)  # many ties
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in dense.nearest(df, df.where("id % 10 = 0"), 5, block=7, cell=40).collect()}
+    for q in range(0, 300, 10):
+        order = sorted((-round(float(v[q] @ v[i]), 6), i) for i in range(300) if i != q)[:5]
+        assert [got[q, k][0] for k in range(1, 6)] == [i for _, i in order]
+    assert len(got) == 150  # the vector of another dimension finds only itself
+    assert dense.nearest(df.limit(0), df).count() == dense.nearest(df, df.limit(0)).count() == 0
+
+
+def test_ranks_of_a_list_that_holds_most_rows(spark):
+    n = 5000
+    rows = spark.range(n).select(F.lit("R").alias("run_id"), F.lit("m").alias("method"), F.lit("HOT").alias("query_id"), F.concat(F.lit("C"), "id").alias("chunk_id"), (-F.col("id").cast("double")).alias("score"), F.lit(None).cast("int").alias("rank"))
+    need = spark.createDataFrame([("HOT", "C0"), ("HOT", "C2500"), ("HOT", "C4999"), ("HOT", "absent")], "query_id string, chunk_id string")
+    assert {r["chunk_id"]: r["rank"] for r in metrics.relevant_ranks(rows, need).collect()} == {"C0": 1, "C2500": 2501, "C4999": 5000}
+
+
+def test_values_at_places_of_skewed_groups(spark):
+    import random
+    import statistics
+
+    rnd = random.Random(1)
+    groups = {"hot": [rnd.random() for _ in range(3001)], "tied": [1.0] * 50 + [2.0], "one": [7.0], None: [3.0, 1.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("hot", None), ("empty", None)], "g string, v double").repartition(5)
+    assert {r["g"]: r["median"] for r in analysis.medians(df, "v", "g").collect()} == {g: statistics.median(xs) for g, xs in groups.items()}
+    got = {(r["g"], r["percent"]): r["value"] for r in analysis.distribution_percentiles(df, "v", (5, 95, 100), "g").collect()}
+    assert got == {(g, p): sorted(xs)[min(int(p * len(xs) / 100), len(xs) - 1)] for g, xs in groups.items() for p in (5, 95, 100)}
+    assert analysis.medians(df.select("v"), "v").first()["median"] == statistics.median([x for xs in groups.values() for x in xs])
+
+
+def test_places_and_samples_by_hash(spark):
+    df = spark.range(2000).select(F.concat(F.lit("Q"), "id").alias("query_id"), F.lit(None).cast("string").alias("label"))
+    got = analysis.places_by_hash(df, "query_id", "label").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 2001))
+    sample = analysis.seeded_sample(df.repartition(7), "query_id", 5).orderBy("place").collect()
+    assert [r["query_id"] for r in sample] == [r["query_id"] for r in got[:5]]
+
+
+def test_rebalance_moves_two_givers_to_one_taker(spark):
+    rows = [(f"k{i}", "keyword") for i in range(50)] + [(f"d{i}", "dense") for i in range(40)] + [(f"h{i}", "hybrid") for i in range(10)] + [("x", "other")]
+    df = spark.createDataFrame(rows, "query_id string, label string")
+    got = analysis.rebalance(df, {"keyword": 0.3, "dense": 0.3, "hybrid": 0.35}, (("keyword", "hybrid"), ("dense", "hybrid")))
+    assert {(r["label"], r["new_label"]): r["count"] for r in got.groupBy("label", "new_label").count().collect()} == {("keyword", "keyword"): 30, ("keyword", "hybrid"): 20, ("dense", "dense"): 35, ("dense", "hybrid"): 5, ("hybrid", "hybrid"): 10, ("other", "other"): 1}
+
+
+def test_cutters_on_endpoints_and_bodies_without_headings():
+    block = "### GET /a\n\n" + "Parameters: x\n\n" * 150
+    body = "# API\n\n## 2. Endpoints\n\nAll of them.\n\n" + block + block.replace("/a", "/b")
+    got = chunking.section_aware(body, "API Documentation")
+    assert [p[-1] for _, _, p in got] == ["API", "2. Endpoints", "GET /a", "GET /b"] and all(p[0] == "API" for _, _, p in got)
+    assert len(chunking.section_aware(body, "HR Policies")) > 4
+    plain = "word " * 800
+    assert chunking.section_aware(plain) == [(0, len(plain), ["Document"])]
+    assert chunking.recursive(plain) == chunking.fixed_size(plain) and {tuple(p) for _, _, p in chunking.fixed_size(plain)} == {("Document",)}
+
+
+def test_fixed_windows_end_after_their_last_paragraph():
+    body = "# A\n\n" + "x" * 700 + "\n\n" + "y" * 700 + "\n\n" + "z" * 90 + "\n\n# B\n\n" + "w" * 2000
+    got = chunking.fixed_size(body)
+    assert body[: got[0][1]].endswith("# B\n\n") and got[0][2] == ["A"]
+    assert got[1][0] >= got[0][1] - chunking.OVERLAP and body[: got[1][0]].endswith("\n\n")
+    assert got[-1][1] == len(body) and got[-1][2] == ["B"]
+
+
+def test_missing_entities_and_answers_to_all(spark):
+    scored = spark.createDataFrame([("bm25", "Q", 0.2), ("bm25", "Q", 0.01), ("hybrid", "Q", 0.0)], "method string, query_id string, adaptive double")
+    q = spark.createDataFrame([("Q", "multi_hop", "limits in {doc}")], "query_id string, reasoning_type string, query_text string")
+    got = {r["method"]: (r["failure_reason"], r["suggested_strategy"]) for r in validation.verdicts(scored, q).collect()}
+    assert got == {"bm25": ("missing_entity", "bm25"), "hybrid": ("too_narrow", None)}
+    answers = spark.createDataFrame([("Q", "[1] x", 0.5, 1.0)], "query_id string, answer string, confidence double, coverage double")
+    full = {r["query_id"]: (r["answer"], r["confidence"]) for r in validation.answered(answers, spark.createDataFrame([("Q",), ("R",)], "query_id string")).collect()}
+    assert full == {"Q": ("[1] x", 0.5), "R": (validation.NO_ANSWER, 0.0)}
+    own = validation.with_scorer(spark.createDataFrame([(0.4, 7.0), (0.4, None)], "rank_proxy double, x double"), "mine", F.col("x"))
+    assert [r["mine"] for r in own.collect()] == [1.0, 0.4]
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from sieveline import session
+
+    conf = N(get=lambda *_: None)
+    cluster = N(conf=conf, sparkContext=N(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(cluster)
+
+
+def test_baselines_and_inherited_metadata(spark, tmp_path):
+    from sieveline.sources import tables as sources
+
+    sources.write_report(spark.createDataFrame([("bm25", 1, 0.5), ("bm25", 10, None)], "method string, k long, recall double"), str(tmp_path / "m"))
+    got = sources.read_baseline(spark, str(tmp_path / "m"), 10).collect()
+    assert [(r["method"], r["recall"]) for r in got] == [("bm25", None)]
+    docs = spark.createDataFrame([("D", "t", None)], "document_id string, title string, region string")
+    chunks = spark.createDataFrame([("C1", "D"), ("C2", "gone")], "chunk_id string, document_id string")
+    assert {r["chunk_id"]: r["missing"] for r in sources.inherited_metadata(chunks, docs, ("title", "region")).collect()} == {"C1": ["region"], "C2": ["title", "region"]}
