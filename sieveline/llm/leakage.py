@@ -20,11 +20,9 @@ from pyspark.sql.window import Window as W
 
 from ..session import small, staged
 from .chars import BASE
+from .sieve import POWER, filter_array, passes
 
 SIZE, SHINGLE = 13, 5
-#: Size of the largest filter of shingles that goes to every task, in words of 64 bits (16 MB), as a power of two. With more
-#: shingles than it can tell apart, more of the corpus passes it; results stay the same, as a join decides.
-FILTER_POWER = 21
 #: Windows that may be broadcast with their words (about 300 bytes each); beyond it they are joined by shuffle.
 MAX_PREFIXES = 200_000
 #: Places per shingle in that shuffle, so that a passage that a third of all documents hold fills no single task.
@@ -93,28 +91,6 @@ def _windows(size: int, shingle: int):
     return run
 
 
-def bloom_filter(shingles: DataFrame, power: int = FILTER_POWER) -> np.ndarray:
-    """A filter that every shingle passes and few others do: words of 64 bits, put together by a grouped bitwise or. At most
-    2 ** power words come to the driver, however many shingles there are."""
-    n = shingles.count()
-    power = min(power, max(6, (2 * n).bit_length() - 1))
-    bit = "shiftleft(1L, cast(shiftrightunsigned(shingle, {}) & 63 AS int))"
-    mask = F.expr(" | ".join(bit.format(6 * i) for i in range(4)))
-    words = shingles.groupBy(F.shiftrightunsigned("shingle", 64 - power).alias("at")).agg(F.bit_or(mask).alias("bits")).toArrow()
-    out = np.zeros(1 << power, np.int64)
-    out[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _passes(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which shingles pass a filter."""
-    u, one, low = s.view(np.uint64), np.uint64(1), np.uint64(63)
-    mask = np.zeros(len(u), np.uint64)
-    for i in range(4):
-        mask |= one << ((u >> np.uint64(6 * i)) & low)
-    return bits[u >> np.uint64(65 - len(bits).bit_length())] & mask == mask
-
-
 def _scan(widths: list[int], wanted: np.ndarray, size: int, count: bool):
     """Shingles of documents that pass the filter. count: (shingle, n) per batch; else each with its place:
     (doc, shingle, width, words before it, words from it on), as far as a window can reach."""
@@ -133,7 +109,7 @@ def _scan(widths: list[int], wanted: np.ndarray, size: int, count: bool):
                 found = []
                 for width in widths:
                     s = shingle_hashes(h, width).view(np.int64)
-                    at = np.flatnonzero(_passes(s, wanted))
+                    at = np.flatnonzero(passes(s, wanted))
                     of = np.searchsorted(ends, at, "right")
                     inside = at + width <= ends[of]
                     found.append((at[inside], of[inside], s[at[inside]], np.full(inside.sum(), width)))
@@ -166,7 +142,7 @@ def _blocks(texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
         yield held
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = SIZE, shingle: int = SHINGLE, filter_power: int = FILTER_POWER, max_prefixes: int = MAX_PREFIXES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = SIZE, shingle: int = SHINGLE, filter_power: int = POWER, max_prefixes: int = MAX_PREFIXES) -> DataFrame:
     """doc_id, item_id and leaked_windows (distinct windows of the item found in the document), one row per pair.
 
     Words are maximal runs of letters and digits in lower case, so layout, punctuation and case don't matter. Documents
@@ -188,12 +164,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     if not widths:
         return d.select(F.col("doc").alias(doc_id), F.lit(None).cast(kind).alias(item_id), F.lit(0).cast("long").alias("leaked_windows")).limit(0)
 
-    counts = d.mapInArrow(_scan(widths, bloom_filter(shingles, filter_power), size, True), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = d.mapInArrow(_scan(widths, filter_array(shingles, filter_power), size, True), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rarest = W.partitionBy("item", "words").orderBy("n", "shingle", "offset")
     ranked = windows.join(counts, "shingle", "left").fillna(0, ["n"]).withColumn("place", F.row_number().over(rarest))
     # A window with a shingle that no document has cannot occur: its rarest shingle has n = 0.
     prefix = staged(ranked.where("place = 1 AND n > 0").select("item", "words", "length", "width", "shingle", "offset"), "leak-prefixes")
-    rare = bloom_filter(prefix.select("shingle").distinct(), filter_power)
+    rare = filter_array(prefix.select("shingle").distinct(), filter_power)
     hits = d.mapInArrow(_scan(widths, rare, size, False), f"doc {doc_kind}, shingle long, width long, before string, after string")
     if small(prefix, max_prefixes):
         joined = hits.join(F.broadcast(prefix), ["shingle", "width"])

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import staged
 from .chars import code_points, powers, rolling_hash, segments, sliding_min
+from .sieve import sifted
 
 #: Windows of one packed string at most, so that strings stay short in texts that repeat one stretch for ever.
 MAX_WINDOWS = 1024
@@ -206,23 +207,27 @@ def find_shared(records: DataFrame, length: int = 200, grain: int = 64, max_stri
     so don't count as sharing; versions of one id with different texts are kept apart by a hash of the text. Other
     columns are not read.
 
-    First only the minimisers travel: buckets with a single owner are dropped before any text is moved. What is left is
+    First only the minimisers travel, once: buckets with a single owner are dropped where they stand, by a filter of the
+    others, and so are texts without a bucket that is left, before either is moved. What is left is
     cut out of the texts and sent to its bucket, copies of one string once. Buckets with up to max_strings different
     strings are sorted in one piece; larger ones are cut by the FURTHER minimisers into smaller ones, where copies
     of a string fall together again. What is too large even then is counted window by window, spread over all tasks and
     combined before the shuffle. Windows are compared as text everywhere.
     """
     texts = records.select("record_type", "id", "owner", "text").where(F.col("id").isNotNull() & F.col("owner").isNotNull() & (F.length("text") >= length))
-    texts = texts.withColumn("owner_hash", F.xxhash64("owner")).withColumn("version", F.xxhash64("text"))
+    texts = texts.withColumn("owner_hash", F.xxhash64("owner")).withColumn("version", F.xxhash64("text")).withColumn("record", F.xxhash64("record_type", "id", "version"))
     kmers = staged(
-        texts.select("record_type", "id", "owner_hash", "version", "text")
-        .mapInArrow(_super_kmers(length, grain), "record_type string, id string, owner_hash long, version long, bucket long, at long, windows long")
-        .withColumn("bucket", F.col("bucket").bitwiseXOR(F.xxhash64("record_type"))),
+        texts.select("record_type", "record", "owner_hash", "version", "text")
+        .mapInArrow(_super_kmers(length, grain, kept=("record_type", "record", "owner_hash", "version")), "record_type string, record long, owner_hash long, version long, bucket long, at long, windows long")
+        .withColumn("bucket", F.col("bucket").bitwiseXOR(F.xxhash64("record_type")))
+        .drop("record_type"),
         "spans-kmers",
     )
-    buckets = kmers.groupBy("bucket").agg(F.min("owner_hash").alias("low"), F.max("owner_hash").alias("high")).where("low <> high").select("bucket")
-    wanted = kmers.join(buckets, "bucket", "left_semi").groupBy("record_type", "id", "version").agg(F.collect_set(F.struct("bucket", "at", "windows")).alias("kmers"))
-    packed = texts.join(wanted, ["record_type", "id", "version"]).mapInArrow(_pack(length), "record_type string, id string, owner string, owner_hash long, version long, bucket long, at long, windows long, packed string")
+    buckets = staged(kmers.groupBy("bucket").agg(F.min("owner_hash").alias("low"), F.max("owner_hash").alias("high")).where("low <> high").select("bucket"), "spans-buckets")
+    shared = sifted(kmers.select("record", "version", "bucket", "at", "windows"), "bucket", buckets).join(buckets, "bucket", "left_semi")
+    wanted = staged(shared.groupBy("record", "version").agg(F.collect_set(F.struct("bucket", "at", "windows")).alias("kmers")), "spans-wanted")
+    held = sifted(texts, "record", wanted.select("record"))
+    packed = held.join(wanted, ["record", "version"]).mapInArrow(_pack(length), "record_type string, id string, owner string, owner_hash long, version long, bucket long, at long, windows long, packed string")
     packed = staged(packed.withColumn("string", F.xxhash64("packed")), "spans-packed")
 
     found = _counted(packed.select("bucket", "string", "packed", F.col("owner_hash").alias("low"), F.col("owner_hash").alias("high")), length, max_strings, FURTHER)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import chars, leakage, mixing, pairs, prose, spans, splitting, topn
+from sieveline.llm import chars, leakage, mixing, pairs, prose, sieve, spans, splitting, topn
 
 rnd = random.Random(7)
 
@@ -376,10 +376,15 @@ def test_leaks_equal_brute_force(spark, power, most):
 
 def test_every_shingle_passes_its_filter(spark):
     held = [rnd.getrandbits(64) - 2**63 for _ in range(500)]
-    bits = leakage.bloom_filter(spark.createDataFrame([(x,) for x in held], "shingle long"))
-    assert leakage._passes(np.array(held, np.int64), bits).all()
-    assert leakage._passes(np.array([rnd.getrandbits(64) - 2**63 for _ in range(10_000)], np.int64), bits).mean() < 0.05
-    assert len(leakage.bloom_filter(spark.createDataFrame([(x,) for x in held], "shingle long"), 6)) == 64
+    bits = sieve.filter_array(spark.createDataFrame([(x,) for x in held], "shingle long"))
+    assert sieve.passes(np.array(held, np.int64), bits).all()
+    assert sieve.passes(np.array([rnd.getrandbits(64) - 2**63 for _ in range(10_000)], np.int64), bits).mean() < 0.05
+    keys = spark.createDataFrame([(x,) for x in held], "k long")
+    for power in (21, 6):
+        got = {r["k"] for r in sieve.sifted(keys.unionByName(spark.range(5000).select(F.xxhash64("id").alias("k"))).withColumn("at", F.lit(1)), "k", keys, power).collect()}
+        assert got >= set(held) and (power == 6 or len(got) < 700)
+    assert sieve.sifted(keys, "k", keys.limit(0)).count() == 0
+    assert len(sieve.filter_array(spark.createDataFrame([(x,) for x in held], "shingle long"), 6)) == 64
 
 
 def test_leaks_of_nothing(spark):
