@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,13 +28,18 @@ MAX_SOURCES = 1000
 def _encoding(path: str):
     import tiktoken
 
+    if not os.path.isabs(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(path)
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_count(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
-    """Tokens of a text in a public byte-level BPE vocabulary; null for null."""
+    """Tokens of a text in a public byte-level BPE vocabulary; null for null. vocabulary is a path that every executor has, or the
+    name of a file that was sent to them with SparkContext.addFile."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -44,6 +50,11 @@ def token_count(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
     return count(text)
 
 
+def estimated_tokens(text: str) -> Column:
+    """A quarter of the characters, where no vocabulary is at hand; null for null."""
+    return F.floor(F.length(text) / 4)
+
+
 def clean_source(c: str) -> Column:
     """One spelling per source: trimmed, lower case, '-' and blanks as '_'."""
     return F.translate(F.lower(F.trim(F.col(c))), "- ", "__")
@@ -95,9 +106,9 @@ def mix(records: DataFrame, targets: DataFrame, block_tokens: int = 512, total_t
     if len(goal) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     names = sorted(r["source"] for r in goal)
-    key = F.xxhash64(F.lit(seed), "id")
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")  # 60 bits
     rows = records.select("id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where(F.col("id").isNotNull() & F.col("source").isin(names) & (F.col("n_tokens") > 0))
-    rows = staged(rows.withColumn("key", key).withColumn("stretch", F.shiftrightunsigned("key", 64 - STRETCHES.bit_length() + 1)), "mix-records")
+    rows = staged(rows.withColumn("key", key).withColumn("stretch", F.shiftright("key", 60 - STRETCHES.bit_length() + 1)), "mix-records")
     # At most MAX_SOURCES rows: one sum per target source.
     have = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     weight, cap = {r["source"]: r["target_share"] for r in goal}, {r["source"]: r["max_repeats"] or 0 for r in goal}

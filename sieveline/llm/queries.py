@@ -114,6 +114,20 @@ def p7_mix_records(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[0].withColumnRenamed("id", "doc_id")
 
 
+def _estimated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), mixing.clean_source("source").alias("source"), mixing.estimated_tokens("text").alias("n_tokens"))
+    return mixing.mix(docs, table(spark, folder, "mix_targets"))
+
+
+def p7_mix_estimated(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture with a quarter of the characters as the size of a text."""
+    return _estimated(spark, folder)[1].drop("actual_share", "passes")
+
+
+def p7_uses_estimated(spark: SparkSession, folder: str) -> DataFrame:
+    return _estimated(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
 def _prose(spark: SparkSession, folder: str) -> DataFrame:
     return prose.judged(table(spark, folder, "documents"), table(spark, folder, "common_words"))
 
@@ -138,4 +152,4 @@ def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.coalesce("source", F.lit("unknown")).alias("source"), F.explode("failed_rules").alias("rule")).groupBy("source", "rule").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p3_found, p3_pieces, p3_soundness, p5_found, p5_flags, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p8_found, p8_statistics, p8_measures, p8_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared_chars, p1_spans, p2_found, p2_top3, p3_found, p3_pieces, p3_soundness, p5_found, p5_flags, p6_found, p6_leaks, p6_items, p7_mix_report, p7_mix_records, p7_mix_estimated, p7_uses_estimated, p8_found, p8_statistics, p8_measures, p8_reasons)}

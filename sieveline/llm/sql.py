@@ -31,6 +31,18 @@ WITH r AS (
 ), g AS (SELECT DISTINCT record_type, h, id, owner FROM w JOIN shared USING (record_type, h))
 """
 
+_P7 = """
+WITH t AS (SELECT source, sum(target_share)::DOUBLE AS share, max(max_repeats)::BIGINT AS cap FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY 1),
+r AS (SELECT *, ('0x' || substring(md5('42|' || doc_id), 1, 15))::BIGINT AS key FROM (SELECT doc_id, translate(lower(trim(source)), '- ', '__') AS source, length(text) // 4 AS n FROM documents) WHERE doc_id IS NOT NULL AND n > 0 AND source IN (SELECT source FROM t)),
+have AS (SELECT source, sum(n)::BIGINT AS have, count(*) AS n_records FROM r GROUP BY 1),
+plan AS (SELECT floor(min(have * cap * (SELECT sum(share) FROM t) / share))::BIGINT // 512 AS slots FROM have JOIN t USING (source) WHERE cap > 0),
+cum AS (SELECT source, cap, coalesce(sum(share) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(share) FROM t) AS a, CASE WHEN lead(source) OVER (ORDER BY source) IS NULL THEN 2 ELSE sum(share) OVER (ORDER BY source) / (SELECT sum(share) FROM t) END AS b FROM t),
+slot AS (SELECT i, (i + 1) * 0.6180339887498949::DOUBLE AS p FROM (SELECT unnest(range(0, slots)) AS i FROM plan)),
+dealt AS (SELECT cum.source, cap, row_number() OVER (PARTITION BY cum.source ORDER BY i) - 1 AS nth FROM slot JOIN cum ON p - floor(p) >= a AND p - floor(p) < b),
+block AS (SELECT source, nth % ((have + 511) // 512) AS block, count(*) AS repeats FROM dealt JOIN have USING (source) WHERE nth < ((have + 511) // 512) * cap GROUP BY 1, 2),
+placed AS (SELECT doc_id, source, n, (coalesce(sum(n) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT // 512 AS block FROM r),
+uses AS (SELECT doc_id, placed.source, n AS n_tokens, repeats FROM placed JOIN block ON placed.source = block.source AND placed.block = block.block)
+"""
 _COVER = _P1.split(", part AS")[0] + """, part AS (
   SELECT record_type, id, owner, text AS whole, b, substring(text, b + 1, 1199) AS text FROM (SELECT *, unnest(range(0, length(text) - 199, 1000)) AS b FROM r WHERE length(text) >= 200)
 ), w AS (
@@ -63,6 +75,9 @@ SQL = {
 SELECT DISTINCT config_id, document_id,
   CASE WHEN list_max(list_transform(regexp_split_to_array(body, '\s+'), lambda w: length(w))) // 4 > max_tokens THEN 'forced' ELSE 'boundary' END AS cut_kind
 FROM enterprise_documents, chunking_config WHERE length(body) // 4 > max_tokens""",
+    "p7_uses_estimated": _P7 + "SELECT * FROM uses",
+    "p7_mix_estimated": _P7 + """, given AS (SELECT source, count(*) AS n_used, max(repeats) AS most_repeats, sum(n_tokens * repeats)::BIGINT AS tokens_used FROM uses GROUP BY 1)
+SELECT t.source, share AS target_share, cap AS max_repeats, coalesce(n_records, 0) AS n_records, coalesce(have, 0) AS tokens, coalesce(n_used, 0) AS n_used, coalesce(most_repeats, 0) AS most_repeats, coalesce(tokens_used, 0) AS tokens_used FROM t LEFT JOIN have USING (source) LEFT JOIN given USING (source)""",
     "p8_measures": r"""
 WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')),
 ln AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')) AS x FROM d),
