@@ -87,6 +87,17 @@ def question_type(text: Column) -> Column:
     return out.otherwise("single_hop")
 
 
+#: The question types whose wording is a signal, and its name.
+SIGNALS = {"temporal": "temporal_reasoning", "exception": "exception_handling"}
+
+
+def signals(text: Column) -> Column:
+    """Names of the signals in the wording of a question, in order; none for null."""
+    patterns = dict(QUESTION_TYPES)
+    found = F.array(*(F.when(F.lower(text).rlike(patterns[kind]), name) for kind, name in SIGNALS.items()))
+    return F.filter(found, lambda s: s.isNotNull())
+
+
 def slots(text: Column) -> Column:
     """Names in braces, in order, each once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{(\w+)\}"), 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.text import is_chunk_id, parent_id
 
@@ -16,6 +17,14 @@ def violations(df: DataFrame, table_name: str, rules: dict[str, Column]) -> Data
     return sums.select(F.lit(table_name).alias("table_name"), "n", F.explode(pairs).alias("x")).select("table_name", "x.rule", F.col("n").alias("n_rows"), F.col("x.v").alias("n_violations"))
 
 
+def samples(df: DataFrame, table_name: str, key: str, rules: dict[str, Column], n: int = 20) -> DataFrame:
+    """table_name, rule, place, record_id: the first n records by key that break each rule; rows without a key can't be named."""
+    broken = F.filter(F.array(*(F.when(~c, F.lit(r)) for r, c in rules.items())), lambda r: r.isNotNull())
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("record_id"), F.explode(broken).alias("rule")).distinct()
+    placed = rows.withColumn("place", F.row_number().over(W.partitionBy("rule").orderBy("record_id"))).where(F.col("place") <= n)
+    return placed.select(F.lit(table_name).alias("table_name"), "rule", "place", "record_id")
+
+
 def chunk_rules() -> dict[str, Column]:
     return {
         "id_format": is_chunk_id(F.col("chunk_id")),

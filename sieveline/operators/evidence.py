@@ -69,3 +69,13 @@ def replacements(docs: DataFrame, old: str, new: str, by: tuple[str, ...]) -> Da
     of by; null if there is none. Null values of by match nothing."""
     fresh = docs.where((F.col("status") == new) & F.col("deleted_at").isNull()).groupBy(*by).agg(F.min("document_id").alias("replacement"))
     return docs.where(F.col("status") == old).select("document_id", *by).join(fresh, list(by), "left").select("document_id", "replacement")
+
+
+def chunks_at(points: DataFrame, chunks: DataFrame) -> DataFrame:
+    """points (document_id, point_id, at) with the chunk (chunk_id, document_id, char_start, char_end) of the document that holds
+    `at`, the first of several; where none does, the one that begins last before it, or else the first one."""
+    marks = chunks.where("chunk_id IS NOT NULL AND document_id IS NOT NULL AND char_start IS NOT NULL")
+    within = marks.where("char_end IS NOT NULL").select("document_id", F.struct(F.col("char_start").cast("long").alias("a"), "chunk_id").alias("no"), F.col("char_start").alias("start"), F.col("char_end").alias("end"))
+    held = containing(points, within).select("point_id", F.col("no.chunk_id").alias("held"))
+    near = as_of(points.select(F.col("document_id").alias("key"), "point_id", "at"), marks.select(F.col("document_id").alias("key"), F.col("chunk_id").alias("mark_id"), F.col("char_start").cast("long").alias("at")))
+    return near.join(held, "point_id").select(F.col("key").alias("document_id"), "point_id", "at", F.coalesce("held", "mark_id").alias("chunk_id"))

@@ -43,6 +43,20 @@ def rule_decisions(queries: DataFrame) -> DataFrame:
     return d.select("query_id", "selected_strategy", "matched_rules", "planner_confidence", "oracle_strategy_mapped", (F.col("selected_strategy") == F.col("oracle_strategy_mapped")).alias("is_correct"))
 
 
+#: Fixed value: least confidence of a rule's decision that needs no second opinion.
+CONFIDENT = 0.75
+
+
+def plans(decisions: DataFrame, second: DataFrame, suggested: DataFrame) -> DataFrame:
+    """query_id, strategy, source of each of decisions (rule_decisions): a strategy that validation suggested (query_id,
+    suggested_strategy) overrides; below CONFIDENT a second opinion (query_id, second_strategy) replaces the rule's; else the
+    rule's stands. Both have at most one row per query; their nulls count for nothing."""
+    d = decisions.select("query_id", "selected_strategy", "planner_confidence").join(suggested, "query_id", "left").join(second, "query_id", "left")
+    asked = (F.col("planner_confidence") < CONFIDENT) & F.col("second_strategy").isNotNull()
+    source = F.when(F.col("suggested_strategy").isNotNull(), "validation_override").when(asked, "llm").otherwise("rule")
+    return d.select("query_id", F.coalesce("suggested_strategy", F.when(asked, F.col("second_strategy")), "selected_strategy").alias("strategy"), source.alias("source"))
+
+
 #: Question types for which recorded oracles are known to disagree with what the runs show.
 DISPUTED = ("temporal",)
 

@@ -567,6 +567,34 @@ def last_chunk_at_section(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.containing(s, c, last=True).select("document_id", F.col("point_id").alias("section_no"), F.col("no.chunk_id").alias("chunk_id"))
 
 
+def evidence_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """For the text of each chunk, found in its document, the chunk that the place found lies in or is nearest to."""
+    chunks = _chunks(spark, folder, "document_id", "text", "char_start", "char_end")
+    found = evidence.locate_quotes(chunks.select("chunk_id", "document_id", "text"), _docs(spark, folder, "body")).where("found_at IS NOT NULL")
+    points = found.select("document_id", F.col("chunk_id").alias("point_id"), F.col("found_at").cast("long").alias("at"))
+    return evidence.chunks_at(points, chunks).select("point_id", "at", "chunk_id")
+
+
+def dq_samples(spark: SparkSession, folder: str) -> DataFrame:
+    parts = (("chunks", "chunk_id", constraints.chunk_rules()), ("enterprise_documents", "document_id", constraints.document_rules()), ("queries", "query_id", constraints.query_rules()))
+    out = [constraints.samples(table(spark, folder, t), t, key, rules) for t, key, rules in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def query_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """What the wording of each question tells: its type and signals."""
+    q = _queries(spark, folder, "query_text")
+    return q.select("query_id", T.question_type(F.col("query_text")).alias("by_wording"), F.array_join(T.signals(F.col("query_text")), "|").alias("signals"), F.lit(0.6).alias("confidence"))
+
+
+def planner_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Who planned the strategies of the second pass: validation of the hybrid lists, a model where rules are unsure, or the rules."""
+    rules = planning.rule_decisions(_queries(spark, folder, "reasoning_type", "retrieval_difficulty_factors", "category", "planner_oracle_strategy"))
+    second = _decisions(spark, folder, "query_id", "selected_strategy").where("query_id IS NOT NULL").groupBy("query_id").agg(F.max_by("selected_strategy", "decision_id").alias("second_strategy"))
+    suggested = _verdicts(spark, folder).where("method = 'hybrid'").select("query_id", "suggested_strategy")
+    return planning.plans(rules, second, suggested).groupBy("source", "strategy").agg(F.count("*").alias("n_queries"))
+
+
 def fixed_windows(spark: SparkSession, folder: str) -> DataFrame:
     """The windows of fixed_size as offsets."""
     return chunk_fixed(spark, folder).select("chunk_id", "char_start", "char_end")
@@ -683,7 +711,7 @@ QUERIES = {
         chunk_recursive, dq_violations, dq_duplicates, first_last_event, first_two_documents, references_of_meetings, label_rebalance, oracle_validation, label_counts, table_rows, numbered_sections, repeated_projects, p4_found, p4_counts,
         contribution_report, prompt_quality, pilot_report, pilot_samples, error_report, notable_changes, reasoning_type_union, missed_chunks, rrf_best_run, pipeline_loops, pipeline_reasons, pipeline_experiments,
         rescored_validation, complete_answers, slot_fill_from_runs, merged_retrieval, response_cache_hits, seeded_sample, query_sequence, inherited_metadata, dependency_order, deprecated_replacements,
-        first_document_pairs, last_chunk_at_section, fixed_windows,
+        first_document_pairs, last_chunk_at_section, evidence_chunks, dq_samples, query_analysis, planner_sources, fixed_windows,
         run_rounds, query_metrics_rounds, macro_metrics_rounds, metrics_by_attribute_rounds, metrics_by_factor_rounds, rrf_fusion_rounds, rrf_sweep_rounds, contribution_overall_rounds, contribution_by_category_rounds,
         planner_run_assembly_rounds, validation_scores_rounds, validation_decisions_rounds, loop_outcome_rounds, pipeline_stats_rounds, dedup_keep_max_rerank_rounds, dedup_keep_best_rank_rounds, extractive_answers_rounds, citation_extract_rounds,
     )

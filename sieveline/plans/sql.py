@@ -100,6 +100,11 @@ def _violations(name: str, rules: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{r}' AS rule, count(*) AS n_rows, count(*) FILTER (NOT ({c})) AS n_violations FROM {name}" for r, c in rules.items())
 
 
+def _samples(name: str, key: str, rules: dict[str, str]) -> str:
+    broken = " UNION ".join(f"SELECT {key} AS record_id, '{r}' AS rule FROM {name} WHERE {key} IS NOT NULL AND NOT ({c})" for r, c in rules.items())
+    return f"SELECT '{name}' AS table_name, * FROM (SELECT rule, row_number() OVER (PARTITION BY rule ORDER BY record_id) AS place, record_id FROM ({broken})) WHERE place <= 20"
+
+
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))"
 _DENSE = f"e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.v, b.v), 6) AS score, a.label AS la, b.label AS lb FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near)"
 _MERGE = _RUNS + ", c AS (SELECT * FROM list WHERE rank <= 20 AND method IN ('bm25', 'dense', 'hybrid'))"
@@ -137,6 +142,14 @@ WITH refs AS (
 )
 """
 
+_CHUNK_RULES = {
+        "id_format": "regexp_matches(chunk_id, '^.+-C\\d{3}$')", "parent_is_prefix": "regexp_extract(chunk_id, '^(.*)-C', 1) = upper(trim(regexp_replace(document_id, '\\t', '', 'g')))", "offsets_ordered": "char_end > char_start",
+        "text_present": "length(trim(coalesce(text, ''))) > 0", "length_matches_offsets": "length(text) = char_end - char_start", "path_present": "coalesce(len(section_path) > 0, false)"}
+_DOC_RULES = {"updated_after_created": "updated_at >= created_at", "deleted_after_created": "deleted_at >= created_at", "body_present": "length(coalesce(body, '')) > 0", "title_present": "length(trim(coalesce(title, ''))) > 0"}
+_QUERY_RULES = {
+        "answerable_has_chunks": "NOT answerable OR len(coalesce(required_chunk_ids, [])) > 0", "unanswerable_has_none": "answerable OR (len(coalesce(required_chunk_ids, [])) = 0 AND len(coalesce(required_document_ids, [])) = 0)",
+        "many_documents_flagged": "len(coalesce(required_document_ids, [])) < 2 OR coalesce(list_contains(retrieval_difficulty_factors, 'multi_document_dependency'), false)"}
+
 SQL = {
     "token_counts": f"WITH {_POST} SELECT term, sum(tf)::BIGINT AS n_total, count(*) AS n_chunks FROM post GROUP BY 1",
     "term_stats_idf": f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf",
@@ -206,13 +219,7 @@ SQL = {
     "chunk_statistics": f"""WITH {_CH}, t AS (SELECT *, greatest(1, length(coalesce(text, '')) // 4) AS t FROM ch), g AS (SELECT category, chunk_strategy, document_id, count(*) AS n, sum(t) AS s, min(t) AS lo, max(t) AS hi, count(*) FILTER (contains(text, '| --- |')) AS n_table FROM t GROUP BY ALL)
  SELECT category, chunk_strategy, sum(n)::BIGINT AS n_chunks, count(*) AS n_documents, sum(n_table)::BIGINT AS n_table_chunks, round(sum(s) / sum(n), 4) AS avg_tokens, min(lo)::INT AS min_tokens, max(hi)::INT AS max_tokens, round(avg(n), 4) AS avg_chunks_per_document, max(n) AS max_chunks_per_document FROM g GROUP BY 1, 2""",
     "chunk_token_percentiles": f"WITH {_CH}, t AS (SELECT category, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS t FROM ch) " + _percentiles("t", "category", "t", "[25, 50, 75, 90, 95]::BIGINT[]"),
-    "dq_violations": _violations("chunks", {
-        "id_format": "regexp_matches(chunk_id, '^.+-C\\d{3}$')", "parent_is_prefix": "regexp_extract(chunk_id, '^(.*)-C', 1) = upper(trim(regexp_replace(document_id, '\\t', '', 'g')))", "offsets_ordered": "char_end > char_start",
-        "text_present": "length(trim(coalesce(text, ''))) > 0", "length_matches_offsets": "length(text) = char_end - char_start", "path_present": "coalesce(len(section_path) > 0, false)"})
-    + " UNION ALL " + _violations("enterprise_documents", {"updated_after_created": "updated_at >= created_at", "deleted_after_created": "deleted_at >= created_at", "body_present": "length(coalesce(body, '')) > 0", "title_present": "length(trim(coalesce(title, ''))) > 0"})
-    + " UNION ALL " + _violations("queries", {
-        "answerable_has_chunks": "NOT answerable OR len(coalesce(required_chunk_ids, [])) > 0", "unanswerable_has_none": "answerable OR (len(coalesce(required_chunk_ids, [])) = 0 AND len(coalesce(required_document_ids, [])) = 0)",
-        "many_documents_flagged": "len(coalesce(required_document_ids, [])) < 2 OR coalesce(list_contains(retrieval_difficulty_factors, 'multi_document_dependency'), false)"}),
+    "dq_violations": _violations("chunks", _CHUNK_RULES) + " UNION ALL " + _violations("enterprise_documents", _DOC_RULES) + " UNION ALL " + _violations("queries", _QUERY_RULES),
     "dq_duplicates": " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k}::VARCHAR AS record_id, count(*) - 1 AS n_extra FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) > 1" for t, k in (("chunks", "chunk_id"), ("enterprise_documents", "document_id"), ("queries", "query_id"), ("failure_analysis", "failure_id"), ("pilot_decisions", "decision_id"))),
     "first_last_event": "SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_value, arg_max(event_type, (ts, event_id)) AS last_value, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1",
     "first_two_documents": f"WITH {_DOC} SELECT category, place, document_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY created_at NULLS FIRST, document_id) AS place FROM doc WHERE title IS NOT NULL AND category IS NOT NULL) WHERE place <= 2",
@@ -313,6 +320,12 @@ SQL |= {
     "first_document_pairs": f"""WITH {_DOC}, o AS (SELECT category || '/' || department AS family, document_id, row_number() OVER (PARTITION BY category || '/' || department ORDER BY created_at NULLS FIRST, document_id) AS place FROM doc WHERE category IS NOT NULL AND department IS NOT NULL)
  SELECT family, max(document_id) FILTER (place = 1) AS "first", max(document_id) FILTER (place = 2) AS "second" FROM o WHERE place <= 2 GROUP BY 1 HAVING count(*) = 2""",
     "last_chunk_at_section": f"WITH {_CH}, {_SECTIONS}, h AS (SELECT s.document_id, section_no, arg_max(ch.chunk_id, (ch.char_start, ch.chunk_id)) AS chunk_id FROM sect s LEFT JOIN ch ON ch.document_id = s.document_id AND ch.char_start <= s.char_start AND s.char_start < ch.char_end GROUP BY 1, 2) SELECT * FROM h",
+    "evidence_chunks": f"""WITH {_CH}, {_DOC}, p AS (SELECT chunk_id AS point_id, ch.document_id, strpos(body, text) - 1 AS "at" FROM ch JOIN doc ON ch.document_id = doc.document_id WHERE text <> '' AND strpos(body, text) > 0),
+ m AS (SELECT document_id, char_start AS a, min(chunk_id) AS id FROM ch WHERE char_start IS NOT NULL AND document_id IS NOT NULL GROUP BY 1, 2)
+ SELECT point_id, "at", coalesce((SELECT arg_min(chunk_id, (char_start, chunk_id)) FROM ch WHERE ch.document_id = p.document_id AND char_start <= p."at" AND p."at" < char_end), (SELECT arg_max(id, a) FROM m WHERE m.document_id = p.document_id AND a <= p."at"), (SELECT arg_min(id, a) FROM m WHERE m.document_id = p.document_id)) AS chunk_id FROM p""",
+    "dq_samples": _samples("chunks", "chunk_id", _CHUNK_RULES) + " UNION ALL " + _samples("enterprise_documents", "document_id", _DOC_RULES) + " UNION ALL " + _samples("queries", "query_id", _QUERY_RULES),
+    "query_analysis": f"WITH {_Q} SELECT query_id, {_KINDS} AS by_wording, array_to_string(list_filter([CASE WHEN regexp_matches(lower(query_text), {_quote(QUESTION_TYPES[0][1])}) THEN 'temporal_reasoning' END, CASE WHEN regexp_matches(lower(query_text), {_quote(QUESTION_TYPES[1][1])}) THEN 'exception_handling' END], lambda x: x IS NOT NULL), '|') AS signals, 0.6::DOUBLE AS confidence FROM q",
+    "planner_sources": f"WITH {_LOOP}, {_DEC}, s AS (SELECT query_id, arg_max(selected_strategy, decision_id) AS second FROM d WHERE query_id IS NOT NULL AND selected_strategy IS NOT NULL GROUP BY 1), v AS (SELECT query_id, suggested_strategy FROM verdict WHERE method = 'hybrid') SELECT CASE WHEN suggested_strategy IS NOT NULL THEN 'validation_override' WHEN planner_confidence < 0.75 AND second IS NOT NULL THEN 'llm' ELSE 'rule' END AS source, coalesce(suggested_strategy, CASE WHEN planner_confidence < 0.75 THEN second END, selected_strategy) AS strategy, count(*) AS n_queries FROM planned LEFT JOIN v ON planned.query_id = v.query_id LEFT JOIN s ON planned.query_id = s.query_id GROUP BY 1, 2",
     "fixed_windows": f"""WITH RECURSIVE {_DOC}, w AS (
   SELECT document_id, body, length(body) AS n, 0::BIGINT AS a, 0::BIGINT AS e, 0::BIGINT AS f FROM doc WHERE body IS NOT NULL
   UNION ALL
