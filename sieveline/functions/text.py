@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,10 @@ ID_PATTERNS = (
     r"\b(\d{4}-\d{2}-\d{2})\b",
     r"\b(ADR-[A-Z]+-\d+)\b",
 )
-WORD_SPLIT = r"[^a-z0-9_/-]+"
+#: What a text must contain, one of each, for the pattern in the same place to match at all: spares most texts most patterns.
+ID_MARKS = (("HY-",), ("-POL-", "API-DOC-", "SYS-DES-", "MTG-"), ("PRJ-",), ("HY",), ("-",), ("/api/v",), ("v",), ("-",), ("ADR-",))
+#: A run of what words consist of; one of a single character would be dropped anyway.
+WORD = r"[a-z0-9_/-]{2,}"
 #: Words that the index leaves out.
 STOP_WORDS = (
     "a an the and or but in on at to for of with by from is are was were be been being have has had do does did will would "
@@ -50,18 +55,20 @@ def raw_tokens(text: Column) -> Column:
     for pattern in ID_PATTERNS:
         found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), 1), lambda t: F.concat(F.lit(_MARK), F.lower(t))))
         rest = F.regexp_replace(rest, pattern, " ")
-    return F.concat(*found, F.split(F.lower(rest), WORD_SPLIT))
+    return F.concat(*found, F.regexp_extract_all(F.lower(rest), F.lit(WORD), 0))
 
 
 def with_raw_tokens(df: DataFrame, text: Column, out: str = "raw") -> DataFrame:
     """df with raw_tokens(text) as a column. Each pattern is a step of its own, so every replacement runs once per text; as one
     expression the nested replacements would be evaluated again for each pattern."""
     df = df.withColumn("_rest", F.coalesce(text, F.lit("")))
-    for i, pattern in enumerate(ID_PATTERNS):
-        df = df.withColumn(f"_id{i}", F.regexp_extract_all("_rest", F.lit(pattern), 1)).withColumn("_rest", F.regexp_replace("_rest", pattern, " "))
+    for i, (pattern, marks) in enumerate(zip(ID_PATTERNS, ID_MARKS)):
+        may = functools.reduce(lambda a, b: a | b, (F.col("_rest").contains(m) for m in marks))
+        ids = F.when(may, F.regexp_extract_all("_rest", F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn(f"_id{i}", ids).withColumn("_rest", F.when(may, F.regexp_replace("_rest", pattern, " ")).otherwise(F.col("_rest")))
     found = [f"_id{i}" for i in range(len(ID_PATTERNS))]
     marked = F.transform(F.concat(*found), lambda t: F.concat(F.lit(_MARK), F.lower(t)))
-    return df.withColumn(out, F.concat(marked, F.split(F.lower("_rest"), WORD_SPLIT))).drop("_rest", *found)
+    return df.withColumn(out, F.concat(marked, F.regexp_extract_all(F.lower("_rest"), F.lit(WORD), 0))).drop("_rest", *found)
 
 
 def finished_token(raw: Column, keep_stop_words: bool = False) -> Column:
