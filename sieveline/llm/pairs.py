@@ -37,9 +37,9 @@ _STOP = re.compile(r"[.!?…。][\"'”»“)\]*_`]*$")
 _INNER_STOP = re.compile(r"[.!?…。][\"'”»)\]]*\s+\S")
 _SENTENCE = re.compile(r"(?<=[.!?…。])[\"'”»)\]]*\s+|[\r\n]+")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
-_HANGUL = re.compile(r"[가-힣]")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_HANGUL = re.compile(r"[가-힣]+")
+_CYRILLIC = re.compile(r"[Ѐ-ӿ]+")
+_LATIN = re.compile(r"[A-Za-zÀ-ɏ]+")
 
 _ACTS = r"(?:help|answer|assist|respond|repl(?:y|ying)|provid|choos|discuss|decid|decision|comply|complet|fulfil|process|share|support|give|offer|select|recommend|continu|engag|address|advis|comment)\w*"
 _CANNOT = r"(?:can(?:no|')t|can not|won't|will not|(?:am|are|'m|'re) (?:not able|unable|not allowed|not permitted|not authori[sz]ed|not in a position) to|must (?:decline|refuse)|have to (?:decline|refuse)|(?:respectfully )?(?:decline|refuse) to|prefer not to|may not|'d rather not|would rather not)"
@@ -71,6 +71,8 @@ GRAMMARS: dict[str, tuple[str, ...]] = {
     "ru": (r"\b(?:я|мы)?\s*не (?:могу|можем|буду|будем|вправе|имею права|имеем права|в состоянии|уполномочен\w*)\b[^.!?;]{0,60}?\b(?:ответ|отвеч|помоч|помог|предостав|обсужд|обсуд|выбра|выбир|реш|дать|обработ)\w*", r"\b(?:вынужден\w*|должен|должна|должны) отказа\w*"),
 }
 _REFUSALS = tuple(re.compile(p, re.I) for ps in GRAMMARS.values() for p in ps)
+#: Something that every refusal has one of: without it no grammar is tried.
+_DENIAL = re.compile(r"n't|\b(?:no|not|cannot|unable|declin\w*|refus\w*|outside|beyond|nicht|keine?\w?|ablehn\w*|ne|n|pas|aucune|décliner|negarme|rechazar|non|rifiutare|não|recusar|niet|geen|weigeren|не)\b|отказа|없|못합|않|거절|불가", re.I)
 #: Sentences that only lead up to an answer: an apology or thanks.
 _COURTESY = re.compile(r"\b(?:sorry|apologi[sz]e|apologies|unfortunately|thank|thanks|regret|leider|tut mir leid|entschuldig\w*|danke|désolé\w*|merci|malheureusement|siento|lamento|gracias|lamentablemente|spiac\w*|scus\w*|grazie|desculp\w*|obrigad\w*|helaas|bedankt|извин\w*|сожалени\w*|спасибо)\b|죄송|감사|유감", re.I)
 #: Sentences of an answer's opening, courtesies not counted, that a refusal may stand in.
@@ -326,7 +328,7 @@ def refuses(wording: str) -> bool:
     for sentence in _SENTENCE.split(wording.replace("’", "'")):
         if not sentence.strip():
             continue
-        if any(p.search(sentence) for p in _REFUSALS):
+        if _DENIAL.search(sentence) and any(p.search(sentence) for p in _REFUSALS):
             return True
         if not _COURTESY.search(sentence):
             seen += 1
@@ -335,47 +337,41 @@ def refuses(wording: str) -> bool:
     return False
 
 
-def spoken(wording: str, profiles: dict[str, frozenset[str]]) -> str | None:
-    """The language of a wording as far as scripts and function words tell; None if they don't."""
-    hangul, latin, cyrillic = (len(p.findall(wording)) for p in (_HANGUL, _LATIN, _CYRILLIC))
-    if hangul > 0.4 * (hangul + latin):
-        return "ko"
-    if cyrillic > latin:
-        return "ru"
-    hits: Counter = Counter(k for w in set(_WORD.findall(wording.lower())) for k, ws in profiles.items() if w in ws)
-    return max(hits, key=lambda k: (hits[k], k)) if hits else None
+def _scripts(s: str) -> tuple[int, int, int]:
+    """Letters of Hangul, Latin and Cyrillic."""
+    latin = sum(map(len, _LATIN.findall(s)))
+    return (0, latin, 0) if s.isascii() else (sum(map(len, _HANGUL.findall(s))), latin, sum(map(len, _CYRILLIC.findall(s))))
 
 
-def language(wording: str, prompt: str, expected: str, profiles: dict[str, frozenset[str]]) -> str | None:
-    """The language of the wording if it is plainly another one than expected, else None. Quotations and words of the
-    prompt don't count."""
+def language(wording: str, prompt: str, expected: str, speakers: dict[str, tuple[str, ...]]) -> tuple[str | None, str | None]:
+    """(other, own) of a wording: the language it is in if that is plainly another one than expected, else None; and the
+    language it is in as far as scripts and function words tell, else None. Quotations and words of the prompt don't count
+    for other. speakers: the languages of each function word."""
     expected = expected.lower()[:2]
-    own = _QUOTED.sub(" ", wording)
-    hangul, latin, cyrillic = (len(p.findall(own)) for p in (_HANGUL, _LATIN, _CYRILLIC))
-    if hangul + latin + cyrillic < 8:
-        return None
+    said = _QUOTED.sub(" ", wording)
+    hangul, latin, cyrillic = _scripts(said)
     if cyrillic > 0.5 * (hangul + latin + cyrillic):
-        return None if expected in ("ru", "uk", "bg", "sr", "mk", "be") else "ru"
+        return (None if expected in ("", "ru", "uk", "bg", "sr", "mk", "be") or cyrillic < 8 else "ru"), "ru"
     if hangul > 0.4 * (hangul + latin):
-        return None if expected == "ko" else "ko"
+        return (None if expected in ("", "ko") or hangul + latin < 8 else "ko"), "ko"
     hits: Counter = Counter()
-    words = _WORD.findall(own.lower())
+    words = _WORD.findall(said.lower())
     for w in words:
-        langs = [k for k, ws in profiles.items() if w in ws and k != "ko"]
-        for k in langs:
+        for k in (langs := [k for k in speakers.get(w, ()) if k != "ko"]):
             hits[k] += 1 / len(langs)
+    own = max(hits, key=lambda k: (hits[k], k)) if hits else None
+    if hangul + latin + cyrillic < 8 or not expected:
+        return None, own
     if expected == "ko":
         if hits and hangul < 0.15 * (hangul + latin):
-            return max(hits, key=lambda k: (hits[k], k))
+            return own, own
         quoted = set(_WORD.findall(prompt.lower()))
-        return "?" if hangul == 0 and sum(w not in quoted for w in words) >= 4 else None
-    if expected not in profiles:
-        return None
+        return ("?" if hangul == 0 and sum(w not in quoted for w in words) >= 4 else None), own
+    if own is None or not any(expected in langs for langs in speakers.values()):
+        return None, own
     others = [k for k in hits if k != expected]
-    if not others:
-        return None
-    best = max(others, key=lambda k: (hits[k], k))
-    return best if hits[best] >= 1.5 and hits[best] >= 1.5 * hits[expected] else None
+    best = max(others, key=lambda k: (hits[k], k)) if others else None
+    return (best if best and hits[best] >= 1.5 and hits[best] >= 1.5 * hits[expected] else None), own
 
 
 def _plain(word: str) -> str:
@@ -389,12 +385,13 @@ _JUDGED = "defect string, judged boolean, prev string, word string, stops boolea
 
 
 def _judge(profiles: dict[str, frozenset[str]]):
+    speakers = {w: tuple(sorted(k for k, ws in profiles.items() if w in ws)) for w in frozenset().union(*profiles.values())}
+
     def one(response: str | None, prompt: str | None, lang: str | None) -> tuple[tuple, str]:
         none = (None, False, False)
         if response is None or not response.strip():
             return ("empty", True, None, *none), ""
         whole, enveloped, wording, rest = parse(response)
-        judged = lambda: spoken(wording or rest, profiles) in GRAMMARS
         if whole and not _WORD.search(wording) and not _WORD.search(rest):
             return ("empty", True, None, *none), wording
         if refuses(wording) or rest and not wording and refuses(rest):
@@ -404,14 +401,14 @@ def _judge(profiles: dict[str, frozenset[str]]):
         if not whole:
             return ("truncated", True, None, *none), wording
         text = rest if rest and not enveloped else wording
-        other = language(wording, prompt or "", lang, profiles) if lang and prompt else None
+        other, own = language(wording or rest, prompt or "", lang if lang and prompt else "", speakers)
         words = text.split()
         defect = "language" if other else None
         if len(words) > 1 and not _STOP.search(text.rstrip()):
             prev, word = _plain(words[-2]), _plain(words[-1])
-            own = profiles.get(other or (lang or "").lower()[:2], frozenset())
-            return (defect, judged(), prev, word, bool(_INNER_STOP.search(text)), word in own), wording
-        return (defect, judged(), None, *none), wording
+            function = word in profiles.get(other or (lang or "").lower()[:2], ())
+            return (defect, own in GRAMMARS, prev, word, bool(_INNER_STOP.search(text)), function), wording
+        return (defect, own in GRAMMARS, None, *none), wording
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, bool]] = {}
