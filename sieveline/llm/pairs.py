@@ -68,11 +68,15 @@ GRAMMARS: dict[str, tuple[str, ...]] = {
     "it": (r"\bnon (?:posso|possiamo|sono autorizzat\w|siamo autorizzat\w|mi è possibile|mi è permesso|sono in grado di|intendo)\b[^.!?;]{0,60}?\b(?:rispond|aiut|forni|tratt|discut|parl|scegli|sceglie|decid|dare|elabor)\w*", r"\b(?:devo|preferisco) (?:rifiutare|declinare)\b"),
     "pt": (r"\bnão (?:posso|podemos|devo|vou|estou autorizad\w|me é permitido|me é possível)\b[^.!?;]{0,60}?\b(?:respond|ajud|fornec|trat|discut|fal|escolh|decid|dar|process)\w*", r"\b(?:devo|prefiro) (?:recusar|declinar)\b"),
     "nl": (r"\b(?:kan|mag|wil|zal|moet) (?:ik|wij|we)\b[^.!?;]{0,60}?\b(?:niet|geen|weigeren)\b", r"\b(?:ik|wij|we) (?:kan|kunnen|mag|mogen|wil|willen|zal|zullen|moet|moeten)\b[^.!?;]{0,60}?\b(?:niet|geen|weigeren)\b"),
-    "ru": (r"\b(?:я|мы)?\s*не (?:могу|можем|буду|будем|вправе|имею права|имеем права|в состоянии|уполномочен\w*)\b[^.!?;]{0,60}?\b(?:ответ|отвеч|помоч|помог|предостав|обсужд|обсуд|выбра|выбир|реш|дать|обработ)\w*", r"\b(?:вынужден\w*|должен|должна|должны) отказа\w*"),
+    "ru": (r"\b(?:я|мы)?\s*не (?:могу|можем|буду|будем|вправе|имею права|имеем права|в состоянии|уполномочен\w*)\b[^.!?;]{0,60}?\b(?:ответ|отвеч|помоч|помог|предостав|обсужд|обсуд|выбра|выбир|реш|дать|обработ)\w*", r"\b(?:вынужден\w*|должен|должна|должны) отказать(?:ся)?\b"),
 }
-_REFUSALS = tuple(re.compile(p, re.I) for ps in GRAMMARS.values() for p in ps)
-#: Something that every refusal has one of: without it no grammar is tried.
-_DENIAL = re.compile(r"n't|\b(?:no|not|cannot|unable|declin\w*|refus\w*|outside|beyond|nicht|keine?\w?|ablehn\w*|ne|n|pas|aucune|décliner|negarme|rechazar|non|rifiutare|não|recusar|niet|geen|weigeren|не)\b|отказа|없|못합|않|거절|불가", re.I)
+#: Per language, words of which every refusal of its grammar has one ("can't" is 'can' and 't'); Korean parts of words.
+_DENIALS = {
+    "en": "t not no cannot unable decline refuse outside beyond", "de": "nicht keine keinen keiner keines keinem ablehnen", "fr": "ne n refuser décliner aucune", "es": "no negarme declinar rechazar",
+    "it": "non rifiutare declinare", "pt": "não recusar declinar", "nl": "niet geen weigeren", "ru": "не отказать отказаться",
+}
+_GRAMMARS = [(frozenset(words.split()), tuple(re.compile(p, re.I) for p in GRAMMARS[k])) for k, words in _DENIALS.items()]
+_KOREAN, _KOREAN_DENIALS = tuple(re.compile(p) for p in GRAMMARS["ko"]), ("없", "못합", "않", "거절", "불가")
 #: Sentences that only lead up to an answer: an apology or thanks.
 _COURTESY = re.compile(r"\b(?:sorry|apologi[sz]e|apologies|unfortunately|thank|thanks|regret|leider|tut mir leid|entschuldig\w*|danke|désolé\w*|merci|malheureusement|siento|lamento|gracias|lamentablemente|spiac\w*|scus\w*|grazie|desculp\w*|obrigad\w*|helaas|bedankt|извин\w*|сожалени\w*|спасибо)\b|죄송|감사|유감", re.I)
 #: Sentences of an answer's opening, courtesies not counted, that a refusal may stand in.
@@ -328,7 +332,10 @@ def refuses(wording: str) -> bool:
     for sentence in _SENTENCE.split(wording.replace("’", "'")):
         if not sentence.strip():
             continue
-        if _DENIAL.search(sentence) and any(p.search(sentence) for p in _REFUSALS):
+        words = set(_WORD.findall(sentence.lower()))
+        if any(not denials.isdisjoint(words) and any(p.search(sentence) for p in grammar) for denials, grammar in _GRAMMARS):
+            return True
+        if not sentence.isascii() and any(d in sentence for d in _KOREAN_DENIALS) and any(p.search(sentence) for p in _KOREAN):
             return True
         if not _COURTESY.search(sentence):
             seen += 1
