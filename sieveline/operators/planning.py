@@ -20,10 +20,10 @@ def mapped(strategy: Column) -> Column:
     return F.coalesce(F.element_at(table, strategy), strategy)
 
 
-def rule_decisions(queries: DataFrame) -> DataFrame:
+def rule_decisions(queries: DataFrame, *keep: str) -> DataFrame:
     """query_id, selected_strategy, matched_rules, planner_confidence, oracle_strategy_mapped, is_correct for each query
-    (query_id, reasoning_type, retrieval_difficulty_factors, category, planner_oracle_strategy). The first rule that
-    matches decides; all that match are recorded."""
+    (query_id, reasoning_type, retrieval_difficulty_factors, category, planner_oracle_strategy), after the columns of queries
+    to keep. The first rule that matches decides; all that match are recorded."""
     kind, factors = F.coalesce("reasoning_type", F.lit("")), F.coalesce("retrieval_difficulty_factors", F.array().cast("array<string>"))
     has = lambda f: F.array_contains(factors, f)
     tests = (
@@ -40,7 +40,7 @@ def rule_decisions(queries: DataFrame) -> DataFrame:
     d = queries.withColumn("matched_rules", fired).withColumn("first", F.element_at("matched_rules", 1))
     d = d.withColumn("selected_strategy", F.element_at(of(1), F.col("first"))).withColumn("planner_confidence", F.element_at(of(2), F.col("first")))
     d = d.withColumn("oracle_strategy_mapped", mapped(F.coalesce(F.when(F.col("planner_oracle_strategy") != "", F.col("planner_oracle_strategy")), F.lit("hybrid"))))
-    return d.select("query_id", "selected_strategy", "matched_rules", "planner_confidence", "oracle_strategy_mapped", (F.col("selected_strategy") == F.col("oracle_strategy_mapped")).alias("is_correct"))
+    return d.select("query_id", *keep, "selected_strategy", "matched_rules", "planner_confidence", "oracle_strategy_mapped", (F.col("selected_strategy") == F.col("oracle_strategy_mapped")).alias("is_correct"))
 
 
 #: Fixed value: least confidence of a rule's decision that needs no second opinion.

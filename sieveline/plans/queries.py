@@ -679,7 +679,11 @@ def loop_outcome_rounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pipeline_stats_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    return validation.loop_statistics(loop_outcome_rounds(spark, folder), _queries(spark, folder, "reasoning_type"), BY)
+    rounds = _rounds(spark, folder, RUN_METHODS)
+    kinds = _queries(spark, folder, "reasoning_type", "query_text", "retrieval_difficulty_factors", "category", "planner_oracle_strategy")
+    queries = staged(planning.rule_decisions(kinds, "reasoning_type", "query_text").select("query_id", "reasoning_type", "query_text", F.col("selected_strategy").alias("strategy")), "queries")
+    outcome = validation.retried(validation.relevance(_all_lists(spark, folder, 10, rounds), BY), queries, by=BY)
+    return validation.retried_statistics(outcome, queries, rounds.select("round").distinct(), by=BY)
 
 
 def dedup_keep_max_rerank_rounds(spark: SparkSession, folder: str) -> DataFrame:
